@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.semantics import safe_ratio
 from tessera.operators.joins import null_safe_join
+from tessera.sources.tables import stage_derived
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -22,10 +23,15 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
 
 
 def keep_large_groups(df: DataFrame, keys: str | Sequence[str], k: int) -> DataFrame:
-    """Rows of groups with more than ``k`` rows; NULL keys form a group."""
+    """Rows of groups with more than ``k`` rows; NULL keys form a group.
+
+    The surviving keys are staged as a file first. While they fit the
+    broadcast threshold, the rows are filtered where they lie, without a
+    shuffle; a longer key list joins by sort-merge.
+    """
     keys = _keys(keys)
     large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > k)
-    return null_safe_join(df, large.select(*keys), keys, "left_semi")
+    return null_safe_join(df, stage_derived(large.select(*keys)), keys, "left_semi")
 
 
 def with_group_total(

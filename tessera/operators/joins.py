@@ -17,18 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import safe_ratio
+from tessera.sources.tables import stage_derived
 
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Equi-join on same-named keys where NULL matches NULL."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    renamed = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
     condition = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
+        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__key_{k}"]) for k in keys]
     )
     joined = left.join(renamed, condition, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__key_{k}" for k in keys])
 
 
 def duplicate_keys(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,12 +100,13 @@ def fill_from_rows(
 
     Per ``lookup_key`` the value of the last row in ``order`` wins; without an
     order, the greatest value. Both are map-side combined, so a hot key costs
-    one row per partition in the shuffle.
+    one row per partition in the shuffle, and the lookup is staged so that the
+    rows themselves are only shuffled if it is too large to broadcast.
     """
     usable = df.filter(F.col(lookup_key).isNotNull() & ~F.col(lookup_key).isin(list(skip) or [""]))
     last = F.max_by(lookup_value, order) if order is not None else F.max(lookup_value)
     lookup = usable.groupBy(F.col(lookup_key).alias("__key")).agg(last.alias(out))
-    return df.join(lookup, F.col(key) == F.col("__key"), "left").drop("__key")
+    return df.join(stage_derived(lookup), F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def panel_join(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ TABLES = (
 )
 
 
+_local_folder: list[str] = []
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -47,9 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="tessera-"))
+    return _local_folder[0]
 
 
 def _is_complete(spark: SparkSession, path: str) -> bool:
@@ -75,3 +79,15 @@ def checkpoint_table(
     if refresh or not _is_complete(spark, path):
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_derived(df: DataFrame) -> DataFrame:
+    """Write a derived lookup to the shared folder and read it back.
+
+    As a file its size is known when the next join is planned, so Spark's own
+    broadcast threshold decides with a real figure. Without this a lookup
+    made by aggregation carries its input's size estimate, and the big side
+    of the join would be shuffled for nothing.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tessera-derived-{uuid.uuid4().hex}"
+    return checkpoint_table(df, path)
