@@ -164,7 +164,7 @@ def decode_labels(df: DataFrame, refs: References) -> DataFrame:
     )
     df = decode(df, refs.language, "LMAT", {"label": "language"})
     provinces = refs.province.withColumn("label", F.trim("label"))
-    df = decode_slots(df, provinces, {"CPRO": "province", "PR1VI": "province_PR1VI"})
+    df = decode_slots(df, provinces, {"PR1VI": "province_PR1VI"})
     df = decode(df, refs.community.withColumn("label", F.trim("label")), "CCAA", {"label": "comunidad"})
     for dim, source, out in (
         (refs.occupation, "OCUP", "occupation"),
@@ -185,12 +185,14 @@ def housemates(df: DataFrame) -> DataFrame:
     return household_counts(df, "NPERS", MEMBER_SLOTS)
 
 
-def siblings(df: DataFrame, refs: References) -> DataFrame:
-    """Where siblings outside the household live."""
+def siblings_homes(df: DataFrame, refs: References) -> DataFrame:
+    """Where siblings outside the household live; ``province`` is decoded on the way."""
     homes = slot_columns(df, "PRHE")
     df = df.withColumns({c: blank_to_null(c, also=["00"]) for c in homes.values()})
     provinces = refs.province.withColumn("label", F.trim("label"))
-    df = decode_slots(df, provinces, {c: f"HH_province{i}" for i, c in homes.items()})
+    df = decode_slots(
+        df, provinces, {"CPRO": "province", **{c: f"HH_province{i}" for i, c in homes.items()}}
+    )
     where = slot_columns(df, "DVHE")
     same_municipality = count_where(where, lambda c: c == 1)
     named = [f"HH_province{i}" for i in homes]
@@ -219,14 +221,20 @@ def ability(self_report, score, codes: Mapping[str, Sequence]) -> Column:
     )
 
 
+def spanish_items(df: DataFrame) -> DataFrame:
+    """Comprehension, speech, reading and writing of Spanish among the listed languages."""
+    keys = slot_columns(df, "IDIO")
+    return df.withColumns(
+        {
+            p: pick_where(keys, slot_columns(df, p), SPANISH_LANGUAGE)
+            for p in ("COMP", "HABLA", "LEE", "ESCRI")
+        }
+    )
+
+
 def language_level(df: DataFrame) -> DataFrame:
     """Spanish level: native by mother tongue, else reported or tested ability."""
-    keys = slot_columns(df, "IDIO")
-    items = [
-        yes_no(pick_where(keys, slot_columns(df, p), SPANISH_LANGUAGE))
-        for p in ("COMP", "HABLA", "LEE", "ESCRI")
-    ]
-    score = row_sum_strict(items)
+    score = row_sum_strict([yes_no(p) for p in ("COMP", "HABLA", "LEE", "ESCRI")])
     native = F.col("language") == SPANISH_NAME
     return df.withColumn("spanish", r_ifelse(native, F.lit("Nativo"), ability("HAESP", score, ABILITY_LEVELS)))
 
@@ -480,16 +488,39 @@ SUBSET = [
 ]
 
 
+# Columns that later stages only carry along: member, motive, sibling and language slots.
+CARRIED = (
+    r"^(P\d\d_\d\d|compi_\w+|(EDAD|SEXO|PNAC|ALLE|MLLE|ANAC|NESP|DNAC|ANE|PTRS)\d\d"
+    rf"|({'|'.join(MOTIVES)})\d\d|(IDIO|COMP|HABLA|LEE|ESCRI)\d|(PRHE|DVHE|NOHE)\d\d|HH_province\d+)$"
+)
+
+
+def pack(df: DataFrame, pattern: str, name: str = "__carried") -> DataFrame:
+    """Matching columns as one struct, so that joins copy one field instead of hundreds."""
+    packed = matching(df, pattern)
+    rest = [c for c in df.columns if c not in set(packed)]
+    return df.select(*rest, F.struct(*packed).alias(name)) if packed else df
+
+
+def unpack(df: DataFrame, name: str = "__carried") -> DataFrame:
+    return df.select("*", f"{name}.*").drop(name) if name in df.columns else df
+
+
 def process(df: DataFrame, refs: References) -> DataFrame:
-    """The whole derivation, lazily; unused columns are never computed."""
+    """The whole derivation, lazily; unused columns are never computed.
+
+    The municipality lookup is built first, while it still reads a few raw
+    columns. Household blocks follow, and their several hundred slot columns
+    are packed before the label and panel joins.
+    """
     df = reference_person(df, "NPELEG", {a: a for a in REFERENCE_ATTRIBUTES})
-    df = clean_missing(migration_motives(df))
-    df = decode_labels(df, refs)
-    df = language_level(siblings(housemates(df), refs))
-    df = job_search(residence(df), refs)
+    df = residence(clean_missing(migration_motives(df)))
+    df = siblings_homes(spanish_items(housemates(df)), refs)
+    df = decode_labels(pack(df, CARRIED), refs)
+    df = job_search(language_level(df), refs)
     df = census_join(register_joins(df, refs), refs)
     df = derive_measures(derive_person(social_items(df)))
-    return unemployment_joins(df, refs)
+    return unpack(unemployment_joins(df, refs))
 
 
 def subset(df: DataFrame) -> DataFrame:
