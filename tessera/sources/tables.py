@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -15,9 +15,6 @@ TABLES = (
 )
 
 
-_local_folder: list[str] = []
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -43,25 +40,28 @@ def read_table(
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a fresh temporary folder; a
-    cluster session without it is refused.
+    Without that setting the session's warehouse folder serves, which the
+    driver and the executors share as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """Schema of a finished write; None where there is none.
+
+    A finished Parquet write leaves a success marker, a killed one does not.
+    Only Spark's own readers are used, so any store they reach will do.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="tessera-"))
-    return _local_folder[0]
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").head()
+        return spark.read.parquet(path).schema
+    except AnalysisException:
+        return None
 
 
-def _is_complete(spark: SparkSession, path: str) -> bool:
-    """A finished write leaves a success marker; a killed one does not."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(marker)
+def _plain_schema(schema: T.StructType) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
 
 def checkpoint_table(
@@ -70,24 +70,31 @@ def checkpoint_table(
     refresh: bool = False,
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Write a stage's output once and read it back from storage.
+    """Write a stage's output once and read it back from storage (an eager job).
 
     The returned frame has no lineage to the inputs, so a lost executor costs
-    a re-read, not a recomputation. ``refresh`` overwrites an earlier result.
+    a re-read, not a recomputation. ``refresh`` overwrites an earlier result;
+    an earlier result with other columns or types is refused.
     """
     spark = df.sparkSession
-    if refresh or not _is_complete(spark, path):
+    stored = None if refresh else _stored_schema(spark, path)
+    if stored is not None and sorted(_plain_schema(stored)) != sorted(_plain_schema(df.schema)):
+        raise ValueError(f"{path} holds other columns than this stage; pass refresh=True to replace it")
+    if stored is None:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stage_derived(df: DataFrame) -> DataFrame:
-    """Write a derived lookup to the shared folder and read it back.
+    """Write a derived lookup to the shared folder and read it back (an eager job).
 
     As a file its size is known when the next join is planned, so Spark's own
     broadcast threshold decides with a real figure. Without this a lookup
     made by aggregation carries its input's size estimate, and the big side
-    of the join would be shuffled for nothing.
+    of the join would be shuffled for nothing. The files stay in the shared
+    folder, under names that begin with ``tessera-derived-``.
     """
-    path = f"{shared_folder(df.sparkSession)}/tessera-derived-{uuid.uuid4().hex}"
-    return checkpoint_table(df, path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-derived-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
