@@ -9,9 +9,11 @@ import time
 
 import duckdb
 
-from tessera.queries import ORACLES, QUERIES
+from __spark_entry__ import oracle_sql, queries
 from tessera.sources.tables import TABLES
 
+QUERIES, ORACLES = queries(), oracle_sql()
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
