@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup
+from tessera.llm import near_dedup, pii, quality, rules, secrets
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +52,27 @@ def query(sql: str | None = None):
 def op10_near_dedup(spark, folder):
     """Near-duplicate groups over two-word shingles."""
     return near_dedup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+
+
+@query()
+def op2_secret_scan(spark, folder):
+    """Secrets of every text: fixed patterns and tokens that look random."""
+    return secrets.secret_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op4_quality_rules(spark, folder):
+    """Counts, fixed limits and outlier verdict of every text."""
+    return rules.rule_results(table(spark, folder, "documents"))
+
+
+@query()
+def op7_quality_classifier(spark, folder):
+    """Quality score of every text; labels with crc32 mod 5 = 0 are held out."""
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op9_pii(spark, folder):
+    """Personal data of every text: fixed patterns and boosted candidates."""
+    return pii.pii_spans(table(spark, folder, "documents"))
