@@ -134,18 +134,20 @@ def set_classes(sketched: DataFrame) -> DataFrame:
     )
 
 
-def _node(level: int, depth: int):
+def _node(level: int):
     """Key of the node a class reaches at a level of the row's tree."""
-    return F.xxhash64("tree", F.lit(level), F.slice("path", F.col("tree") * depth + 1, level))
+    return F.xxhash64("tree", F.lit(level), F.slice("path", 1, level))
 
 
-def _by_tree(classes: DataFrame, trees: int) -> DataFrame:
-    return classes.select("*", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
+def _by_tree(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """One row per class and tree, with that tree's part of the path only."""
+    rows = classes.select("*", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
+    return rows.withColumn("path", F.slice("path", F.col("tree") * depth + 1, depth))
 
 
 def star_candidates(classes: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
     """Pairs of each node's smallest member with its other members."""
-    rows = _by_tree(classes.select("fp", "n", "path"), trees).select(_node(level, depth).alias("node"), "fp", "n")
+    rows = _by_tree(classes.select("fp", "n", "path"), trees, depth).select(_node(level).alias("node"), "fp", "n")
     heads = rows.groupBy("node").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("members"))
     heads = heads.filter("members > 1").select("node", F.col("head.fp").alias("a"), F.col("head.n").alias("n_a"))
     pairs = rows.join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a"))
@@ -165,10 +167,10 @@ def path_candidates(classes: DataFrame, labels: DataFrame, trees: int, depth: in
     nodes are written once.
     """
     labelled = classes.select("fp", "rep", "n", "path").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = _by_tree(labelled.select("fp", "n", "path", F.coalesce("component", "rep").alias("component")), trees)
+    rows = _by_tree(labelled.select("fp", "n", "path", F.coalesce("component", "rep").alias("component")), trees, depth)
     ready = []
     for level in range(1, depth + 1):
-        rows = rows.withColumn("node", _node(level, depth))
+        rows = rows.withColumn("node", _node(level))
         open_nodes = rows.groupBy("node").agg(
             F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
         )
