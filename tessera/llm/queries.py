@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dedup, pii, quality, rules, secrets
+from tessera.llm import bpe, near_dedup, pii, quality, rules, secrets, toxicity
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,15 @@ def op7_quality_classifier(spark, folder):
 def op9_pii(spark, folder):
     """Personal data of every text: fixed patterns and boosted candidates."""
     return pii.pii_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op5_toxicity(spark, folder):
+    """Toxicity score of every text; labels with crc32 mod 4 = 2 are held out."""
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op8_bpe(spark, folder):
+    """Ids of every text under the word-level vocabulary, and back."""
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
