@@ -303,4 +303,5 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
     unnamed = docs.filter(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(unnamed)
