@@ -44,19 +44,28 @@ def fields(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def thinned(rows: DataFrame, target: int) -> DataFrame:
+    """About ``target`` rows, or all if there are fewer, chosen by a hash of ``doc_id``."""
+    count = rows.count()
+    if count <= target:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(target / count * (1 << 31)))
+
+
 def bounded_sample(labels: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` labelled rows, chosen by a hash of their id.
 
-    The choice depends on the ids alone, so it is the same on every run. The
-    result is collected once (``rows`` is its bound) and handed back as a
-    small frame that any join may broadcast.
+    The choice depends on the ids alone, so it is the same on every run. Tasks
+    send about twice the sample between them, the driver collects the sample
+    (``rows`` is its bound) and hands it back as a small frame that any join
+    may broadcast.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id"), *[F.col(c) for c in labels.columns if c != "doc_id"]]
-    chosen = labels.orderBy(*order).limit(rows).collect()
+    chosen = thinned(labels, 2 * rows).orderBy(*order).limit(rows).collect()
     return labels.sparkSession.createDataFrame(chosen, labels.schema)
 
 
 __all__ = [
     "SLICE_ROWS", "Column", "DataFrame", "SparkSession", "bounded_sample", "fields", "fold",
-    "list_array", "slices", "stage_derived", "table", "text_bytes",
+    "list_array", "slices", "stage_derived", "table", "text_bytes", "thinned",
 ]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.boosting import BoostedTrees
-from tessera.llm.common import fields, slices, stage_derived
+from tessera.llm.common import fields, slices, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -47,8 +47,8 @@ _DIGITS = re.compile(r"(?<![\w])\+?\(?\d(?:[\x20().-]{0,2}\d){6,29}(?![\w])")
 GENERATORS = (("mail", _LOOSE_MAIL), ("dotted", _DOTTED), ("digits", _DIGITS))
 _CUES = re.compile(r"(?i:mail|phone|tel|call|fax|card|visa|account|ip|host|addr|contact|ssn|id)\b")
 
-#: Candidates that the trees are trained and calibrated on, at most.
-SAMPLE = 20_000
+#: Documents (about) and candidates (at most) to train and calibrate the trees on.
+SAMPLE_DOCS, SAMPLE = 100_000, 20_000
 PRECISION = 0.98
 
 
@@ -150,10 +150,10 @@ def candidate_table(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[BoostedTrees, list[float]] | None:
     """Trees and a threshold per generator from at most ``sample`` candidates.
 
-    The sample is chosen by a hash of id and features, over all documents;
-    a third of it, whole documents, calibrates the thresholds.
+    They come from about ``SAMPLE_DOCS`` documents, chosen like the candidates
+    by a hash; a third of them, whole documents, calibrates the thresholds.
     """
-    chosen = candidate_table(docs).orderBy(F.xxhash64("doc_id", "features"), "doc_id").limit(sample)
+    chosen = candidate_table(thinned(docs, SAMPLE_DOCS)).orderBy(F.xxhash64("doc_id", "features"), "doc_id").limit(sample)
     rows = chosen.select("generator", "features", "valid", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")).collect()
     x = np.array([r["features"] for r in rows], dtype=float).reshape(len(rows), -1)
     y = np.array([r["valid"] for r in rows], dtype=float)
@@ -253,6 +253,3 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     model = fit(docs, **options)
     out = docs.withColumn("text", redacted(model)(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-
-
-__all__ = ["all_spans", "base_spans", "candidates", "fit", "pii_spans", "redact", "stage_derived"]
