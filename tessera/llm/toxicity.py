@@ -174,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rate = rows.agg(F.avg("label")).head()[0] or 0.0
     learn = rows.filter("not check").dropDuplicates(["label", "key"])
     words = typical_words(learn)
-    toxic = _trained([b" " + w + b" " for w, n in words for _ in range(n)], TOXIC_BYTES) if words else b""
+    toxic = b""
+    if words:  # the trainer may keep few of so repetitive samples, so each word follows once, the most typical last
+        trained = _trained([b" " + w + b" " for w, n in words for _ in range(n)], TOXIC_BYTES // 2)
+        toxic = (trained + b"".join(b" " + w + b" " for w, _ in reversed(words)))[-TOXIC_BYTES:]
     model = ToxicityModel(_trained(_ordinary_windows(learn), ORDINARY_BYTES) if toxic else b"", toxic, float(rate))
     if toxic:
         steps = _calibration(rows.filter("check"), model)
