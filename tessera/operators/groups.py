@@ -22,14 +22,19 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def keep_large_groups(df: DataFrame, keys: str | Sequence[str], k: int) -> DataFrame:
-    """Rows of groups with more than ``k`` rows; NULL keys form a group.
+def keep_large_groups(
+    df: DataFrame, keys: str | Sequence[str], k: int, null_groups: bool = False
+) -> DataFrame:
+    """Rows of groups with more than ``k`` rows (runs a job at once).
 
-    The surviving keys are staged as a file first. While they fit the
-    broadcast threshold, the rows are filtered where they lie, without a
-    shuffle; a longer key list joins by sort-merge.
+    A row with a NULL key belongs to no group and goes, unless ``null_groups``
+    makes NULL a key like any other. The surviving keys are staged as a file
+    first. While they fit the broadcast threshold, the rows are filtered where
+    they lie, without a shuffle; a longer key list joins by sort-merge.
     """
     keys = _keys(keys)
+    if not null_groups:
+        df = df.dropna(subset=keys)
     large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > k)
     return null_safe_join(df, stage_derived(large.select(*keys)), keys, "left_semi")
 
@@ -102,14 +107,19 @@ def crosstab(
     Row and column margins include levels that are not displayed, and the
     grand total covers every row.
     """
-    cells = (
-        df.cube(row, col)
-        .agg(
-            F.grouping_id().alias("__g"),
-            F.count(value).alias("n"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("sd"),
-        )
+    v = F.col(value).cast("double")
+    # finest cells first: the margins then add up cells, not rows
+    fine = df.groupBy(row, col).agg(
+        F.count(v).alias("__n"), F.avg(v).alias("__mean"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("__m2")
+    )
+    mean = F.sum(F.col("__n") * F.col("__mean")) / F.sum("__n")
+    # squares about the overall mean, by the parallel rule
+    between = F.sum(F.col("__n") * F.col("__mean") * F.col("__mean")) - F.sum("__n") * mean * mean
+    cells = fine.cube(row, col).agg(
+        F.grouping_id().alias("__g"),
+        F.sum("__n").alias("n"),
+        F.when(F.sum("__n") > 0, mean).alias("mean"),
+        F.when(F.sum("__n") > 1, F.sqrt(F.greatest(F.sum("__m2") + F.coalesce(between, F.lit(0.0)), F.lit(0.0)) / (F.sum("__n") - 1))).alias("sd"),
     )
     row_all, col_all = F.col("__g").bitwiseAND(2) != 0, F.col("__g").bitwiseAND(1) != 0
     shown = (row_all | F.col(row).isin(list(rows))) & (col_all | F.col(col).isin(list(cols)))
@@ -123,10 +133,14 @@ def crosstab(
 
 
 def cell_text(main, extra, main_digits: int = 2, extra_digits: int | None = None) -> Column:
-    """``mean (n)`` or ``mean (sd)`` as text."""
-    main = F.round(main, main_digits).cast("string")
-    extra = F.round(extra, extra_digits) if extra_digits is not None else extra
-    return F.concat(main, F.lit(" ("), extra.cast("string"), F.lit(")"))
+    """``mean (n)`` or ``mean (sd)`` as text; numbers without trailing zeros or exponents."""
+    return F.concat(_plain_number(main, main_digits), F.lit(" ("), _plain_number(extra, extra_digits or 0), F.lit(")"))
+
+
+def _plain_number(value, digits: int) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    text = F.round(value.cast("double"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "") if digits else text
 
 
 def crosstab_text(
@@ -148,33 +162,26 @@ def level_counts(df: DataFrame, column: str, conditions: Mapping[str, Column]) -
 
 
 def contingency_table(
-    df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence]
+    df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None
 ) -> DataFrame:
-    """Counts for every combination of levels, zero cells included.
+    """Counts for every combination of known levels, zero cells included.
 
-    Observed cells are counted first. The empty grid is generated from the
-    level lists alone, so its size is the product of factor levels and does
-    not depend on the rows.
+    Observed cells are counted once (an eager job); the levels of the grid are
+    the ones observed, and ``levels`` may add further ones per column. The
+    grid grows with the product of factor levels, not with the rows: one row
+    that holds each factor's level list is exploded factor by factor.
     """
     types = dict(df.dtypes)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    observed = df.filter(known).groupBy(*columns).agg(F.count("*").alias("freq"))
-    grid = df.sparkSession.range(1).select(
-        *[F.array(*[F.lit(v).cast(types[c]) for v in levels[c]]).alias(c) for c in columns]
-    )
+    observed = stage_derived(df.filter(known).groupBy(*columns).agg(F.count("*").alias("freq")))
+    more = {c: F.array(*[F.lit(v).cast(types[c]) for v in (levels or {}).get(c, [])]) for c in columns}
+    lists = [F.array_union(F.collect_set(c), more[c].cast(f"array<{types[c]}>")).alias(c) for c in columns]
+    grid = observed.agg(*lists)
     for c in columns:
         grid = grid.withColumn(c, F.explode(c))
     return grid.join(observed, list(columns), "left").na.fill(0, ["freq"])
 
 
-def collect_levels(df: DataFrame, column: str, limit: int = 10000) -> list:
-    """Distinct known values, sorted; refuses a column that is no factor."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
-    return sorted(r[0] for r in rows)
-
-
 def unit_scale(df: DataFrame, factors: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Rescaled copies of columns: ``{out: (column, factor)}``."""
     return df.withColumns({out: F.col(c) * factor for out, (c, factor) in factors.items()})

@@ -118,11 +118,15 @@ def panel_join(
     """Left join to a panel on several keys; one join can carry many values.
 
     ``on`` maps row columns to panel keys, ``values`` panel columns to output
-    columns. A NULL key matches nothing.
+    columns. A NULL key matches nothing. The panel is staged first (an eager
+    job), so that a small one is broadcast from its real size instead of
+    shuffling the rows.
     """
-    side = panel.select(
-        *[F.col(p).alias(f"__{r}") for r, p in on.items()],
-        *[F.col(v).alias(out) for v, out in values.items()],
+    side = stage_derived(
+        panel.select(
+            *[F.col(p).alias(f"__{r}") for r, p in on.items()],
+            *[F.col(v).alias(out) for v, out in values.items()],
+        )
     )
     condition = reduce(lambda a, b: a & b, [F.col(r) == F.col(f"__{r}") for r in on])
     return df.join(side, condition, "left").drop(*[f"__{r}" for r in on])

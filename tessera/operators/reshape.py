@@ -53,10 +53,6 @@ def set_flags_long(df: DataFrame, key: str, flags: Sequence[str], out: str) -> D
     return combined.select(key, flag_label(list(flags)).alias(out))
 
 
-def two_digit(n: int) -> str:
-    return f"{n:02d}"
-
-
 def padded(col, width: int = 2) -> Column:
     """Whole number as zero-padded text."""
     return F.lpad(int_text(as_col(col)), width, "0")

@@ -13,7 +13,6 @@ from tessera.functions.semantics import is_true, r_ifelse, recode, safe_ln, safe
 from tessera.operators.clean import complete_case, drop_listed, population
 from tessera.operators.groups import (
     cell_text,
-    collect_levels,
     contingency_table,
     crosstab,
     crosstab_text,
@@ -126,6 +125,9 @@ def prepare(df: DataFrame, with_imputation: bool = True) -> DataFrame:
     df = categories(df)
     if with_imputation:
         df = impute(df)
+    else:
+        raw = ["weekly_hours", "hour_earn", "log_hour_earn", "age", "age_sq", "years", "years_sq"]
+        df = df.withColumns({f"{c}_final": F.col(c) for c in raw if c in df.columns})
     df = df.withColumn("province_strata", F.concat("province", "mun_strata"))
     df = complete_case(df, WAGE_CASE, "complete_case_1")
     df = complete_case(df, [*WAGE_CASE, "country_1991"], "complete_case_iv")
@@ -316,31 +318,12 @@ def influenced_share(df: DataFrame) -> DataFrame:
     counts = contingency_table(
         rows,
         ["influenced", "arrival_spain_yr", "economic_plot"],
-        {
-            "influenced": [0, 1],
-            "arrival_spain_yr": collect_levels(rows, "arrival_spain_yr"),
-            "economic_plot": [False, True],
-        },
+        {"influenced": [0, 1], "economic_plot": [False, True]},
     )
     shares = within_group_percent(counts, ["arrival_spain_yr", "economic_plot"], "freq", "prop")
     return shares.filter("influenced = 1").drop("freq")
 
 
-def influenced_rows(df: DataFrame) -> DataFrame:
-    """Each person with the share of their own year and cohort."""
-    shares = influenced_share(df)
-    keyed = df.withColumns(
-        {
-            "influenced": F.col("influenced").cast("int"),
-            "arrival_spain_yr": F.col("arrival_spain_yr").cast("int"),
-            "economic_plot": F.col("economic_final"),
-        }
-    )
-    return keyed.join(shares, ["influenced", "arrival_spain_yr", "economic_plot"], "left")
-
-
-def arrivals_histogram(df: DataFrame) -> DataFrame:
-    return df.groupBy("arrival_spain_yr", "economic_final").agg(F.count("*").alias("n"))
 
 
 def population_series(sheet: DataFrame, skip: Sequence[int] = (1960, 1965)) -> DataFrame:

@@ -62,7 +62,7 @@ def null_cleaning(spark, folder):
     """Sentinel codes, blanks and padding to NULL."""
     orders = table(spark, folder, "orders").select(
         "o_orderkey",
-        F.concat(F.lit(" "), F.substring("o_orderpriority", 3, 20), F.lit("  ")).alias("priority"),
+        F.concat(F.lit(" "), F.substring("o_orderpriority", F.lit(3), F.length("o_orderpriority")), F.lit("  ")).alias("priority"),
         F.when(F.col("o_orderstatus") == "P", "  ").otherwise(F.col("o_orderstatus")).alias("status"),
         F.col("o_custkey").alias("custkey"),
     )

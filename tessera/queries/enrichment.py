@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import quarter_label
@@ -23,7 +23,7 @@ from tessera.operators.joins import (
 )
 from tessera.plans.concentration import density_change, density_panel, relative_density
 from tessera.queries.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import stage_derived, table
 
 
 def placed_orders(spark, folder) -> DataFrame:
@@ -185,7 +185,7 @@ def self_lookup_fill(spark, folder):
 )
 def panel_join_year(spark, folder):
     """Panel values at a row's own year and three years before."""
-    cells = panel(spark, folder)
+    cells = stage_derived(panel(spark, folder))
     rows = placed_orders(spark, folder).withColumn("place", F.col("place").cast("string"))
     rows = rows.withColumn("year_3", F.col("year") - 3)
     keys = {"place": "place", "origin": "origin", "sex": "sex"}
@@ -247,32 +247,42 @@ def panel_group_total(spark, folder):
     return joined.select("o_orderkey", "all_1998")
 
 
+def _rank_of(name: str):
+    """Place of a level among the few distinct levels of its (already distinct) column."""
+    return F.row_number().over(Window.orderBy(name))
+
+
 @query(
     """
-    WITH census AS (SELECT s_nationkey AS place, left(s_name, 8) AS origin, count(*) AS n, sum(s_acctbal) AS v
-                    FROM supplier GROUP BY 1, 2),
-    total AS (SELECT origin, sum(v) AS t FROM census GROUP BY 1)
+    WITH census AS (SELECT s_nationkey AS place, p_type AS origin, sum(l_quantity) AS v
+                    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    total AS (SELECT origin, sum(v) AS t FROM census GROUP BY 1),
+    groups AS (SELECT DISTINCT c_mktsegment AS origin FROM customer),
+    mapped AS (SELECT g.origin, t.origin AS origin_1991
+               FROM (SELECT origin, row_number() OVER (ORDER BY origin) AS k FROM groups) g
+               JOIN (SELECT origin, row_number() OVER (ORDER BY origin) AS k FROM total) t USING (k))
     SELECT c_custkey, ROUND(v, 2) AS census_value, ROUND(v / t, 6) AS census_relative
-    FROM customer LEFT JOIN (SELECT * FROM census JOIN total USING (origin)) c
-         ON c_nationkey = c.place AND c.origin = left(c_name, 0) || 'Supplier'
+    FROM customer LEFT JOIN mapped m ON m.origin = c_mktsegment
+         LEFT JOIN (SELECT * FROM census JOIN total USING (origin)) c
+         ON c_nationkey = c.place AND c.origin = m.origin_1991
     """
 )
 def second_panel(spark, folder):
-    """A second reference panel without sex or year, on its own origin key."""
-    census = (
-        table(spark, folder, "supplier")
-        .groupBy(
-            F.col("s_nationkey").cast("string").alias("place"), F.substring("s_name", 1, 8).alias("origin")
-        )
-        .agg(F.sum("s_acctbal").alias("v"))
-    )
+    """A second reference panel without sex or year, on its own, mapped origin key."""
+    supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("place"))
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("origin"))
+    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    placed = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    census = stage_derived(placed.groupBy("place", "origin").agg(F.sum("l_quantity").alias("v")))
+    customers = table(spark, folder, "customer")
+    names = customers.select(F.col("c_mktsegment").alias("country")).distinct().withColumn("k", _rank_of("country"))
+    older = census.select(F.col("origin").alias("country_1991")).distinct().withColumn("k", _rank_of("country_1991"))
+    mapped = stage_derived(names.join(older, "k").drop("k"))
     totals = census.groupBy("origin").agg(F.sum("v").alias("v")).withColumn("place", F.lit("TOTAL"))
     shares = share(census.unionByName(totals), "place", "TOTAL", "v", ["origin"])
-    customer = table(spark, folder, "customer").select(
-        "c_custkey",
-        F.col("c_nationkey").cast("string").alias("province"),
-        F.lit("Supplier").alias("country_1991"),
-    )
+    customer = customers.select(
+        "c_custkey", F.col("c_nationkey").cast("string").alias("province"), F.col("c_mktsegment").alias("country")
+    ).join(mapped, "country", "left")
     joined = panel_join(
         customer,
         shares,
@@ -350,8 +360,7 @@ def period_fallback(spark, folder):
     picked AS (SELECT p.place, p.origin, p.density, p.density / t.density AS relative
                FROM panel p JOIN panel t ON t.place = 'Total' AND p.origin = t.origin AND p.sex = t.sex
                     AND p.year = t.year
-               WHERE p.year = 1999 AND p.sex = 'F' AND p.origin IN ('BUILDING', 'MACHINERY') AND p.place <> 'Total'
-                     AND TRY_CAST(p.place AS INTEGER) < 20)
+               WHERE p.year = 1999 AND p.sex = 'F' AND p.origin IN ('BUILDING', 'MACHINERY') AND p.place <> 'Total')
     SELECT n_name AS region, origin, measure, ROUND(value, 6) AS value
     FROM nation LEFT JOIN (SELECT place, origin, 'density' AS measure, density AS value FROM picked UNION ALL
                            SELECT place, origin, 'density_relative', relative FROM picked) v
@@ -365,7 +374,6 @@ def region_attributes(spark, folder):
         (F.col("year") == 1999)
         & (F.col("sex") == "F")
         & F.col("origin").isin("BUILDING", "MACHINERY")
-        & (F.col("place").try_cast("int") < 20)
     )
     long = chosen.unpivot(["place", "origin"], ["density", "density_relative"], "measure", "value")
     regions = table(spark, folder, "nation").select(
@@ -394,7 +402,7 @@ def attach_proportion(spark, folder):
     cells = orders.groupBy("s", "p").agg(F.count("*").alias("n"))
     sized = with_group_total(cells, "s", {"total": F.sum("n")})
     shares = sized.select("s", "p", F.round(safe_ratio("n", "total") * 100, 6).alias("percent"))
-    return null_safe_join(orders, shares, ["s", "p"]).select("o_orderkey", "percent")
+    return null_safe_join(orders, stage_derived(shares), ["s", "p"]).select("o_orderkey", "percent")
 
 
 @query(

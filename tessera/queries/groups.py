@@ -26,7 +26,6 @@ from tessera.plans.concentration import size_percentages
 from tessera.queries.registry import query
 from tessera.sources.tables import table
 
-RETURNS, STATUSES, YEARS = ["A", "N", "R"], ["F", "O"], list(range(1995, 2002))
 SEGMENTS = ["BUILDING", "FURNITURE", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 
@@ -144,26 +143,28 @@ def frequency_table(spark, folder):
 
 @query(
     """
-    WITH grid AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) a(l_returnflag), (VALUES ('F'), ('O')) b(l_linestatus),
-                  (SELECT unnest(range(1995, 2002))::INTEGER AS year)),
-    seen AS (SELECT l_returnflag, l_linestatus, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS freq
-             FROM lineitem WHERE l_quantity > 49 GROUP BY ALL),
-    counted AS (SELECT l_returnflag, l_linestatus, year, COALESCE(freq, 0) AS freq
-                FROM grid LEFT JOIN seen USING (l_returnflag, l_linestatus, year))
+    WITH rows AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, o_orderstatus AS status,
+                         CAST(year(o_orderdate) AS INTEGER) AS year
+                  FROM orders JOIN customer ON o_custkey = c_custkey),
+    grid AS (SELECT * FROM (SELECT DISTINCT nation FROM rows), (SELECT DISTINCT segment FROM rows),
+                           (SELECT DISTINCT status FROM rows), (SELECT DISTINCT year FROM rows)),
+    seen AS (SELECT nation, segment, status, year, count(*) AS freq FROM rows GROUP BY ALL),
+    counted AS (SELECT nation, segment, status, year, COALESCE(freq, 0) AS freq
+                FROM grid LEFT JOIN seen USING (nation, segment, status, year))
     SELECT *, ROUND(CASE WHEN t > 0 THEN freq * 100.0 / t END, 6) AS percent
-    FROM (SELECT *, sum(freq) OVER (PARTITION BY l_linestatus, year)::BIGINT AS t FROM counted)
+    FROM (SELECT *, sum(freq) OVER (PARTITION BY nation, year)::BIGINT AS t FROM counted)
     """
 )
 def contingency_full(spark, folder):
-    """Three-way counts with zero cells, and the percent within two of the factors."""
-    lines = table(spark, folder, "lineitem").filter("l_quantity > 49")
-    rows = lines.select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"))
-    counts = contingency_table(
-        rows,
-        ["l_returnflag", "l_linestatus", "year"],
-        {"l_returnflag": RETURNS, "l_linestatus": STATUSES, "year": YEARS},
+    """Four-way counts with zero cells, and the percent within two of the factors."""
+    rows = order_segments(spark, folder).select(
+        F.col("c_nationkey").alias("nation"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("o_orderstatus").alias("status"),
+        F.year("o_orderdate").alias("year"),
     )
-    sized = with_group_total(counts, ["l_linestatus", "year"], {"t": F.sum("freq")})
+    counts = contingency_table(rows, ["nation", "segment", "status", "year"])
+    sized = with_group_total(counts, ["nation", "year"], {"t": F.sum("freq")})
     return sized.withColumn("percent", F.round(safe_ratio("freq", "t") * 100, 6))
 
 
@@ -407,7 +408,7 @@ def influenced_series(spark, folder):
     counts = contingency_table(
         rows,
         ["influenced", "year", "cohort"],
-        {"influenced": [0, 1], "year": YEARS, "cohort": [True, False]},
+        {"influenced": [0, 1], "cohort": [True, False]},
     )
     shares = within_group_percent(counts, ["year", "cohort"], "freq", "prop")
     arrivals = rows.groupBy("year", "cohort").agg(F.count("*").alias("arrivals"))

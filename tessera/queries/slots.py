@@ -314,15 +314,15 @@ def flag_labels(spark, folder):
 
 @query(
     """
-    SELECT user_id, string_agg(event_type, '' ORDER BY event_type) AS form
-    FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 150) GROUP BY 1
+    SELECT user_id, string_agg(event_type, '' ORDER BY event_type) FILTER (set_once) AS form
+    FROM (SELECT user_id, event_type, max(value) > 150 AS set_once FROM events GROUP BY 1, 2) GROUP BY 1
     """
 )
 def flag_labels_long(spark, folder):
-    """The same label built from long rows, one item per row."""
-    events = table(spark, folder, "events").filter("value > 150")
-    flags = events.select(
-        "user_id", *[F.when(F.col("event_type") == e, 1).otherwise(0).alias(e) for e in EVENT_TYPES]
+    """The same label built from long rows, one item per row; a user without any keeps a NULL label."""
+    set_now = F.col("value") > 150
+    flags = table(spark, folder, "events").select(
+        "user_id", *[F.when((F.col("event_type") == e) & set_now, 1).otherwise(0).alias(e) for e in EVENT_TYPES]
     )
     return set_flags_long(flags, "user_id", EVENT_TYPES, "form")
 
