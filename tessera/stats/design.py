@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTERCEPT = "(Intercept)"
-MAX_LEVELS = 4000
 
 
 @dataclass(frozen=True)
@@ -103,23 +102,6 @@ def complete_rows(df: DataFrame, terms: Sequence[Term], extra: Sequence[str] = (
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def present_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Levels of several factors in one job; refuses columns that are no factors."""
-    if not columns:
-        return {}
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
-            for c in columns
-        ]
-    )
-    limit = MAX_LEVELS * len(columns)
-    rows = df.select(F.inline(pairs)).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"too many levels among {list(columns)}")
-    return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
-
-
 def contrast_matrix(levels: Sequence[str], coding: str) -> tuple[np.ndarray, list[str]]:
     """Level by column matrix, and the level each column stands for."""
     k = len(levels)
@@ -214,6 +196,12 @@ class Design:
         hit = F.col(key[0]).cast("string") == F.lit(key[1])
         return F.when(hit, 1.0).otherwise(0.0)
 
+    @property
+    def numbers(self) -> dict[str, Column]:
+        """Shifted numeric columns by the name that raw keys use."""
+        names = [c for c in used_columns(self.terms) if c not in self.levels]
+        return {c: self.raw_column((c,)) for c in names}
+
     def mapping(self, raw_keys: Sequence[tuple]) -> np.ndarray:
         """Raw by model matrix."""
         position = {k: i for i, k in enumerate(raw_keys)}
@@ -300,26 +288,32 @@ class Design:
         return chain
 
 
+def _levels_of(column: str) -> Column:
+    """Distinct values in their own order, as text."""
+    return F.transform(F.array_sort(F.collect_set(column)), lambda v: v.cast("string"))
+
+
 def resolve(
     df: DataFrame, terms: Sequence[Term], numeric: Sequence[str] = ()
 ) -> tuple[Design, int]:
-    """Levels, shifts and row count of a row set that is already complete.
+    """Levels, shifts and row count of a row set that is already complete, in one job.
 
-    Numbers are shifted to their mean before products are summed; this keeps
+    Levels come in the order of the column's own type unless the term lists
+    them; their number is the model's number of columns. Numbers are shifted to their mean before products are summed; this keeps
     the sums well conditioned. ``numeric`` names further columns (the
     response) to centre.
     """
     terms = list(terms)
     cats = factors(terms)
-    seen = present_levels(df, list(cats))
-    levels = {}
-    for c, spec in cats.items():
-        order = [str(v) for v in spec.levels] if spec.levels else seen[c]
-        levels[c] = [v for v in order if v in set(seen[c])]
     numbers = [c for c in dict.fromkeys([*used_columns(terms), *numeric]) if c not in cats]
     means = df.agg(
         F.count("*").alias("n"),
         *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numbers)],
+        *[_levels_of(c).alias(f"l{i}") for i, c in enumerate(cats)],
     ).first()
+    levels = {}
+    for i, (c, spec) in enumerate(cats.items()):
+        seen = list(means[f"l{i}"])
+        levels[c] = [v for v in map(str, spec.levels) if v in set(seen)] if spec.levels else seen
     shifts = {c: float(means[f"m{i}"] or 0.0) for i, c in enumerate(numbers)}
     return Design(terms, levels, shifts), int(means["n"])

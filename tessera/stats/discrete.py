@@ -12,9 +12,10 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.stats.design import INTERCEPT, as_terms, complete_rows, resolve
+from tessera.stats.design import INTERCEPT, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.fit import Fit
-from tessera.stats.gram import gram, independent, inverse
+from tessera.stats.gram import independent, inverse, product_sums
+from tessera.stats.linear import model_rows
 
 ETA, MU = "__eta", "__mu"
 
@@ -41,25 +42,31 @@ class DiscreteFit:
         return self.model.transform(assembled).drop("__v", *names)
 
 
-def binary_fit(df: DataFrame, y: str, terms: Sequence, link: str) -> DiscreteFit:
+def binary_fit(
+    df: DataFrame, y: str, terms: Sequence, link: str, max_iter: int = 100, staged: bool = False
+) -> DiscreteFit:
     """Logit or probit of a 0/1 (or boolean) column.
 
-    Aliased columns are found from one cross-product pass and left out of the
+    The model's columns are written once and every pass reads them; ``staged``
+    says that ``df`` already is such a table of complete rows. A fit that has
+    not converged after ``max_iter`` steps raises. Spark's solver takes up to
+    4,096 model columns. Aliased columns are found from one cross-product pass and left out of the
     iterations; the covariance is the inverse information matrix at the
     solution, from one weighted pass.
     """
     terms = as_terms(df, terms)
-    rows = df.filter(complete_rows(df, terms, [y]))
+    rows = df if staged else model_rows(df, terms, [y])
     design, n = resolve(rows, terms)
     if n == 0:
         raise ValueError("no complete rows")
     keys = design.raw_keys
     mapping = design.mapping(keys)
-    sums = gram(rows, [design.raw_column(k) for k in keys]).astype(np.longdouble)
+    sums = product_sums(rows, keys, design.numbers).astype(np.longdouble)
     kept = [design.names[i] for i in independent(mapping.T @ sums @ mapping)]
     features = [(name, c) for name, c in design.model_columns() if name in kept and name != INTERCEPT]
 
     wide = rows.select(
+        *used_columns(terms),
         F.col(y).cast("double").alias("__y"), *[c.alias(f"__f{i}") for i, (_, c) in enumerate(features)]
     )
     names = [f"__f{i}" for i in range(len(features))]
@@ -72,15 +79,17 @@ def binary_fit(df: DataFrame, y: str, terms: Sequence, link: str) -> DiscreteFit
         predictionCol=MU,
         linkPredictionCol=ETA,
         tol=1e-10,
-        maxIter=50,
+        maxIter=max_iter,
     ).fit(assembled.select("__y", "__v"))
+    if features and model.summary.numIterations >= max_iter:
+        raise RuntimeError(f"the {link} fit of {y} has not converged after {max_iter} steps")
 
     scored = model.transform(assembled)
     mu, eta = F.col(MU), F.col(ETA)
     weight = mu * (1 - mu) if link == "logit" else F.pow(density(eta), 2) / (mu * (1 - mu))
-    root = F.sqrt(F.coalesce(weight, F.lit(0.0)))
-    information = gram(scored, [root, *[F.col(c) * root for c in names]])
     fit_names = [INTERCEPT, *[name for name, _ in features]]
+    chosen = mapping[:, [design.names.index(c) for c in fit_names]]
+    information = chosen.T @ product_sums(scored, keys, design.numbers, F.coalesce(weight, F.lit(0.0))) @ chosen
     beta = np.array([model.intercept, *model.coefficients.toArray()])
     stats = scored.agg(
         F.sum(F.when(F.col("__y") == 1, F.ln(mu)).otherwise(F.ln(1 - mu))).alias("loglik"),
@@ -108,12 +117,12 @@ def binary_fit(df: DataFrame, y: str, terms: Sequence, link: str) -> DiscreteFit
     return DiscreteFit(fit, model, features)
 
 
-def logit(df: DataFrame, y: str, terms: Sequence) -> DiscreteFit:
-    return binary_fit(df, y, terms, "logit")
+def logit(df: DataFrame, y: str, terms: Sequence, **options) -> DiscreteFit:
+    return binary_fit(df, y, terms, "logit", **options)
 
 
-def probit(df: DataFrame, y: str, terms: Sequence) -> DiscreteFit:
-    return binary_fit(df, y, terms, "probit")
+def probit(df: DataFrame, y: str, terms: Sequence, **options) -> DiscreteFit:
+    return binary_fit(df, y, terms, "probit", **options)
 
 
 def mills_ratio(scored: DataFrame, name: str = "imr") -> DataFrame:

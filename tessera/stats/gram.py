@@ -1,31 +1,85 @@
 """Sums of cross products on the executors, small dense algebra on the driver.
 
-``gram`` is the only place that touches the RDD-based matrix class: rows are
-assembled into (mostly sparse) vectors in the JVM, summed per partition and
-merged by a tree aggregate. What reaches the driver is k x k for k model
-columns, whatever the number of rows.
+The products of a design with factors are grouped sums: rows are first summed
+per cell of the factor columns (combined before the shuffle), cells then per
+set of factors that a pair of columns names. No expression per level is
+evaluated. What reaches the driver is bounded by the k x k entries for k
+design columns, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ALIAS_TOLERANCE = 1e-12
 
 
-def gram(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
-    """Cross-product matrix of the given column expressions over all rows."""
-    names = [f"c{i}" for i in range(len(columns))]
-    cells = df.select(*[c.cast("double").alias(n) for c, n in zip(columns, names)])
-    assembler = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="error")
-    vectors = MLUtils.convertVectorColumnsFromML(assembler.transform(cells).select("v"), "v")
-    return RowMatrix(vectors, 0, len(names)).computeGramianMatrix().toArray()
+def _parsed(key: tuple) -> tuple[dict[str, str] | None, tuple[str, ...]]:
+    """Levels named by a raw key (None if contradictory) and its numeric columns."""
+    levels: dict[str, str] = {}
+    numbers: list[str] = []
+    for part in key if isinstance(key[0], tuple) else [key]:
+        if part == ("1",):
+            continue
+        if len(part) == 1:
+            numbers.append(part[0])
+        elif levels.setdefault(part[0], part[1]) != part[1]:
+            return None, ()
+    return levels, tuple(sorted(numbers))
+
+
+def product_sums(
+    rows: DataFrame, keys: Sequence[tuple], numbers: Mapping[str, Column], weight: Column | None = None
+) -> np.ndarray:
+    """Cross-product matrix of raw design columns over all rows, in one job.
+
+    ``numbers`` gives the expression of every numeric column that a key names;
+    factor columns are compared as text. ``weight`` multiplies each row's
+    products.
+    """
+    parsed = [_parsed(k) for k in keys]
+    columns = list(dict.fromkeys(c for levels, _ in parsed for c in levels or {}))
+    powers = list(dict.fromkeys(n for _, n in parsed))
+    values = [reduce(lambda a, b: a * b, [numbers[c].cast("double") for c in p], F.lit(1.0)) for p in powers]
+    pairs = [(i, j) for i in range(len(powers)) for j in range(i, len(powers))]
+    place = {pair: n for n, pair in enumerate(pairs)}
+    wide = rows.select(
+        *[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(columns)],
+        *[v.alias(f"x{i}") for i, v in enumerate(values)],
+        (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"),
+    )
+    groups = [f"g{i}" for i in range(len(columns))]
+    sums = [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{n}") for n, (i, j) in enumerate(pairs)]
+    cells = wide.groupBy(*groups).agg(*sums)
+    named = {frozenset(levels) for levels, _ in parsed if levels is not None}
+    unions = list(dict.fromkeys(a | b for a in named for b in named))
+    found: dict[tuple, np.ndarray] = {}
+    again = [F.sum(f"s{n}").alias(f"s{n}") for n in range(len(pairs))]
+    if columns:
+        sets = [[f"g{i}" for i, c in enumerate(columns) if c in u] for u in unions]
+        cells = cells.groupingSets(sets, *groups).agg(F.grouping_id().alias("id"), *again)
+    for row in cells.collect():
+        out = int(row["id"]) if columns else 0
+        inside = [not out >> (len(columns) - 1 - i) & 1 for i in range(len(columns))]
+        at = frozenset((c, row[f"g{i}"]) for i, c in enumerate(columns) if inside[i])
+        found[at] = np.array([row[f"s{n}"] or 0.0 for n in range(len(pairs))])
+    matrix = np.zeros((len(keys), len(keys)))
+    at_power = [powers.index(n) for _, n in parsed]
+    for a, (levels_a, _) in enumerate(parsed):
+        for b in range(a, len(keys)):
+            levels_b = parsed[b][0]
+            if levels_a is None or levels_b is None or any(levels_b.get(c, v) != v for c, v in levels_a.items()):
+                continue
+            sums_here = found.get(frozenset({**levels_a, **levels_b}.items()))
+            if sums_here is not None:
+                pair = place[tuple(sorted((at_power[a], at_power[b])))]
+                matrix[a, b] = matrix[b, a] = sums_here[pair]
+    return matrix
 
 
 def independent(matrix: np.ndarray, tolerance: float = ALIAS_TOLERANCE) -> list[int]:

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import p_fisher
-from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve
+from tessera.sources.tables import stage_derived
+from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.fit import Fit
-from tessera.stats.gram import gram, independent, inverse
+from tessera.stats.gram import independent, inverse, product_sums
 
 
 @dataclass
@@ -42,9 +43,9 @@ def moments(rows: DataFrame, design: Design, y: str, n: int) -> Moments:
     """The pass over the rows."""
     keys = design.raw_keys
     shift = design.shifts[y]
-    columns = [design.raw_column(k) for k in keys]
-    columns.append(F.col(y).cast("double") - F.lit(shift))
-    return Moments(keys, gram(rows, columns), shift, n)
+    response = F.col(y).cast("double") - F.lit(shift)
+    sums = product_sums(rows, [*keys, ("__response",)], {**design.numbers, "__response": response})
+    return Moments(keys, sums, shift, n)
 
 
 def solve(names: list[str], products: np.ndarray, n: int, y: str, design: Design | None) -> Fit:
@@ -87,10 +88,19 @@ def solve(names: list[str], products: np.ndarray, n: int, y: str, design: Design
     )
 
 
+def model_rows(df: DataFrame, terms: Sequence, extra: Sequence[str]) -> DataFrame:
+    """The complete rows of a model, its columns only, written once (an eager job).
+
+    Every later pass reads this narrow table, not the input's lineage.
+    """
+    columns = list(dict.fromkeys([*extra, *used_columns(terms)]))
+    return stage_derived(df.filter(complete_rows(df, terms, extra)).select(*columns))
+
+
 def ols(df: DataFrame, y: str, terms: Sequence) -> Fit:
     """Ordinary least squares with listwise deletion and aliased terms dropped."""
     terms = as_terms(df, terms)
-    rows = df.filter(complete_rows(df, terms, [y]))
+    rows = model_rows(df, terms, [y])
     design, n = resolve(rows, terms, [y])
     if n == 0:
         raise ValueError("no complete rows")
@@ -105,6 +115,7 @@ def model_family(df: DataFrame, y: str, models: Mapping[str, Sequence]) -> dict[
     from that model's matrix without another pass.
     """
     specs = {name: as_terms(df, t) for name, t in models.items()}
+    df = stage_derived(df.select(*dict.fromkeys([y, *(c for t in specs.values() for c in used_columns(t))])))
     counts = df.agg(
         *[F.count_if(complete_rows(df, t, [y])).alias(name) for name, t in specs.items()]
     ).first()
@@ -145,8 +156,10 @@ def robust(df: DataFrame, fit: Fit) -> Fit:
     """The same coefficients with an HC1 covariance, from one more pass."""
     rows = df.filter(complete_rows(df, fit.design.terms, [fit.response]))
     residual = F.col(fit.response).cast("double") - fit.predict()
-    columns = [c * residual for n, c in fit.design.model_columns() if n in set(fit.kept)]
-    meat = gram(rows, columns)
+    keys = fit.design.raw_keys
+    mapping = fit.design.mapping(keys)[:, [fit.names.index(c) for c in fit.kept]]
+    sums = product_sums(rows, keys, fit.design.numbers, residual * residual)
+    meat = (mapping.T @ sums @ mapping).astype(float)
     bread = fit.vcov / fit.summary["sigma"] ** 2
     scale = fit.n / fit.df_residual
     return Fit(**{**fit.__dict__, "vcov": scale * (bread @ meat @ bread)})
@@ -183,7 +196,7 @@ def iv(
     endo = [Num(c) for c in endogenous]
     inst = [Num(c) for c in instruments]
     every = [*exo, *endo, *inst]
-    rows = df.filter(complete_rows(df, every, [y]))
+    rows = model_rows(df, every, [y])
     design, n = resolve(rows, every, [y])
     products = moments(rows, design, y, n).model(design)
     names = design.names

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import is_true
-from tessera.stats.design import INTERCEPT, Num, as_terms, complete_rows, resolve
+from tessera.sources.tables import stage_derived
+from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.discrete import ETA, DiscreteFit, mills_ratio, probit
 from tessera.stats.fit import Fit
-from tessera.stats.gram import gram
+from tessera.stats.gram import product_sums
 from tessera.stats.linear import moments, ols, solve
 
 LAMBDA = "inv_mills_ratio"
@@ -64,21 +65,27 @@ def heckman(
     out = as_terms(df, outcome_terms)
     chosen = is_true(F.col(selected).cast("int") == 1)
     usable = complete_rows(df, sel, [selected]) & (~chosen | complete_rows(df, out, [y]))
-    rows = df.filter(usable)
-    first = probit(rows, selected, sel)
+    columns = dict.fromkeys([selected, y, *used_columns(sel), *used_columns(out)])
+    rows = stage_derived(df.filter(usable).select(*columns))
+    first = probit(rows, selected, sel, staged=True)
 
-    kept_rows = mills_ratio(first.score(rows.filter(chosen)), LAMBDA)
+    kept_rows = stage_derived(mills_ratio(first.score(rows.filter(chosen)), LAMBDA))
     terms = [*out, Num(LAMBDA)]
     design, n = resolve(kept_rows, terms, [y])
     products = moments(kept_rows, design, y, n).model(design)
     plain = solve(design.names, products, n, y, design)
 
-    root = F.sqrt(F.greatest(F.col(LAMBDA) * (F.col(LAMBDA) + F.col(ETA)), F.lit(0.0)))
-    model = dict(design.model_columns())
-    w_names = first.fit.kept
-    w_model = dict(first.fit.design.model_columns())
-    columns = [model[c] * root for c in plain.kept] + [w_model[c] * root for c in w_names]
-    weighted = gram(kept_rows, columns)
+    # both equations' columns over one set of shifts, so that one pass sums them all
+    shifts = {**first.fit.design.shifts, **design.shifts}
+    x_design = Design(design.terms, design.levels, shifts)
+    w_design = Design(first.fit.design.terms, first.fit.design.levels, shifts)
+    keys = list(dict.fromkeys([*x_design.raw_keys, *w_design.raw_keys]))
+    delta = F.greatest(F.col(LAMBDA) * (F.col(LAMBDA) + F.col(ETA)), F.lit(0.0))
+    sums = product_sums(kept_rows, keys, {**x_design.numbers, **w_design.numbers}, delta)
+    x_map = x_design.mapping(keys)[:, [design.names.index(c) for c in plain.kept]]
+    w_map = w_design.mapping(keys)[:, [first.fit.names.index(c) for c in first.fit.kept]]
+    both = np.hstack([x_map, w_map])
+    weighted = (both.T @ sums @ both).astype(float)
     k = len(plain.kept)
     x_delta_x, x_delta_w = weighted[:k, :k], weighted[:k, k:]
 
