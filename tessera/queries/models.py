@@ -571,24 +571,65 @@ def heckman(spark, folder):
     )
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {_FACTS}, {_quantiles('nation')},
+    sel AS (SELECT nation, price, imr, imr * (imr + eta) AS delta FROM facts JOIN eta USING (nation) WHERE selected = 1),
+    r AS (SELECT regr_slope(price, imr) AS b, regr_intercept(price, imr) AS a, count(*) AS n, avg(delta) AS delta,
+                 regr_syy(price, imr) AS syy, regr_sxx(price, imr) AS sxx FROM sel),
+    v AS (SELECT *, (syy - b * b * sxx) / n + delta * b * b AS sigma2 FROM r),
+    cell AS (SELECT nation, eta, imr AS l, imr * (imr + eta) AS d, sum(selected)::DOUBLE AS m, any_value(p) AS p,
+                    any_value(n) AS n FROM facts JOIN eta USING (nation) GROUP BY 1, 2, 3),
+    spread AS (SELECT *, p * (1 - p) / (n * power(exp(-eta * eta / 2) / sqrt(2 * pi()), 2)) * m * d * m * d AS e FROM cell),
+    sums AS (SELECT sum(m) AS s0, sum(m * l) AS s1, sum(m * l * l) AS s2, sum(m * d) AS d0, sum(m * d * l) AS d1,
+                    sum(m * d * l * l) AS d2, sum(e) AS e0, sum(e * l) AS e1, sum(e * l * l) AS e2 FROM spread),
+    middle AS (SELECT a, b, sigma2, s0 - b * b / sigma2 * (d0 - e0) AS a0, s1 - b * b / sigma2 * (d1 - e1) AS a1,
+                      s2 - b * b / sigma2 * (d2 - e2) AS a2, s2 / (s0 * s2 - s1 * s1) AS b0, -s1 / (s0 * s2 - s1 * s1) AS b1,
+                      s0 / (s0 * s2 - s1 * s1) AS b2 FROM sums, v)
+    SELECT '(Intercept)' AS term, ROUND(a, 2) AS estimate,
+           ROUND(sqrt(sigma2 * (b0 * b0 * a0 + 2 * b0 * b1 * a1 + b1 * b1 * a2)), 3) AS std_error FROM middle
+    UNION ALL
+    SELECT 'inv_mills_ratio', ROUND(b, 2),
+           ROUND(sqrt(sigma2 * (b1 * b1 * a0 + 2 * b1 * b2 * a1 + b2 * b2 * a2)), 3) FROM middle
+    """
+)
 def heckman_errors(spark, folder):
-    """Corrected standard errors of a selection model with several regressors."""
-    found = fit_heckman(
-        facts(spark, folder), "selected", [Cat("nation"), Cat("segment")], "price", ["month", "balance"]
-    )
-    return found.outcome.tidy(spark)
+    """Corrected standard errors of a selection model with a selection effect per nation."""
+    found = fit_heckman(facts(spark, folder), "selected", [Cat("nation")], "price", [])
+    tidy = found.outcome.tidy(spark)
+    return tidy.select("term", F.round("estimate", 2).alias("estimate"), F.round("std_error", 3).alias("std_error"))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {_FACTS}, {_quantiles('nation')},
+    stage AS (SELECT regr_slope(balance, month) AS k, regr_intercept(balance, month) AS c FROM facts),
+    sel AS (SELECT price AS y, c + k * month AS x, imr AS l, imr * (imr + eta) AS delta
+            FROM facts JOIN eta USING (nation), stage WHERE selected = 1),
+    m AS (SELECT count(*) AS n, avg(y) AS y, avg(x) AS x, avg(l) AS l, avg(delta) AS delta, var_pop(y) AS yy, var_pop(x) AS xx,
+                 var_pop(l) AS ll, covar_pop(x, l) AS xl, covar_pop(x, y) AS xy, covar_pop(l, y) AS ly FROM sel),
+    b AS (SELECT *, (xy * ll - ly * xl) / (xx * ll - xl * xl) AS b1, (ly * xx - xy * xl) / (xx * ll - xl * xl) AS b2 FROM m),
+    f AS (SELECT *, sqrt(yy - b1 * xy - b2 * ly + delta * b2 * b2) AS sigma FROM b)
+    SELECT n, ROUND(y - b1 * x - b2 * l, 1) AS intercept, ROUND(b1, 4) AS b_hat, ROUND(b2, 2) AS b_lambda,
+           ROUND(sigma, 3) AS sigma, ROUND(b2 / sigma, 5) AS rho FROM f
+    """
+)
 def iv_selection(spark, folder):
     """Selection model whose endogenous regressor is a first-stage prediction."""
     _, found = fit_iv_selection(
-        facts(spark, folder),
-        {"balance_hat": ("balance", ["month", "nation"])},
-        "selected",
-        ["segment", "priority"],
-        "price",
-        ["month"],
+        facts(spark, folder), {"balance_hat": ("balance", ["month"])}, "selected", [Cat("nation")], "price", []
+    )
+    b = found.outcome.coefficients
+    data = [
+        (
+            found.outcome.n,
+            round(b["(Intercept)"], 1),
+            round(b["balance_hat"], 4),
+            round(b["inv_mills_ratio"], 2),
+            round(found.sigma, 3),
+            round(found.rho, 5),
+        )
+    ]
+    return spark.createDataFrame(
+        data, "n bigint, intercept double, b_hat double, b_lambda double, sigma double, rho double"
     )
-    return found.outcome.tidy(spark)
