@@ -54,6 +54,7 @@ SECTORS = (
 )
 SPANISH_LEVELS = ("Necesita mejorar", "Suficiente", "Bien", "Nativo")
 DEVELOPED = "Developed countries (>75% GDPpc of Spain)"
+# In the order in which the wide tables show them.
 TOP_COUNTRIES = ["Argentina", "Bolivia", "Colombia", "Ecuador", "Marruecos", "Perú", "Rumanía"]
 TOP_PROVINCES = [
     "Baleares (Illes)", "Barcelona", "Madrid", "Murcia", "Navarra", "Rioja (La)", "Valencia", "Zaragoza",
@@ -70,6 +71,7 @@ SEX = Cat("sex", ("Male", "Female"))
 PERMIT = Cat("work_permit", ("Yes", "No"))
 BACKGROUND = ["eth_dens_prov_1", "country", "comunidad", EDUCATION]
 
+# The columns that must be known, per study.
 WAGE_CASE = [
     "education_eng", "education_eng_class", "years_final", "age_final", "age_sq_final", "sex", "country",
     "country_class", "comunidad", "province", "municipality",

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.analysis import EDUCATION, PERMIT, SECTOR, SEX
+from tessera.plans.analysis import EDUCATION, EDUCATION_NUMBERS, PERMIT, SECTOR, SEX
 from tessera.stats.design import Cat, Inter, Num
 from tessera.stats.discrete import logit
 from tessera.stats.fit import Fit
@@ -19,14 +19,23 @@ from tessera.stats.linear import InstrumentFit, iv, model_family, nested_test
 from tessera.stats.report import coefficient_table, marginal_grid
 from tessera.stats.selection import SelectionFit, heckman, iv_selection
 
-RAW_EDUCATION = Cat(
-    "education",
-    (
-        "Alguno/no sabe", "Sin estudios", "Primaria (incompleto)", "Primaria (completo)",
-        "Secudaria (primer ciclo)", "Secudaria (segundo ciclo)", "Terciaria (primer ciclo)",
-        "Terciaria (segundo ciclo)",
-    ),
+def _some_studies_first(labels: Sequence[str]) -> tuple[str, ...]:
+    """The uncoarsened labels in rank order, but with the unclear level as reference."""
+    none, some, *rest = labels
+    return (some, none, *rest)
+
+
+RAW_EDUCATION = Cat("education", _some_studies_first(list(EDUCATION_NUMBERS)))
+
+# The sectors of the earnings and search models, in their order.
+RAW_SECTORS = (
+    "Agriculture", "Business, commerce", "Construction", "Education", "Energy",
+    "Extractive industries", "Extraterritorial organizations", "Financial intermediation", "Fishing",
+    "Health and social services", "Hospitality", "Household activities", "Manufacturing",
+    "Other social, community, personal services", "Public administration, defense",
+    "Real estate; rental, business services", "Transportation, communications",
 )
+RAW_SECTOR = Cat("sector2", RAW_SECTORS, "centered")
 SELECTION_TERMS = [SEX, Cat("country_class"), Num("woman_married_kids")]
 SELECTION_BY_COUNTRY = [SEX, Cat("country"), Num("woman_married_kids")]
 ABSOLUTE = [Num("eth_dens_prov_1")]
@@ -36,6 +45,9 @@ AGE = [Num("age_final"), Num("age_sq_final")]
 WAGE_STEPS = [
     [], [SEX], [Num("years_final")], [EDUCATION], AGE, [SECTOR], [Cat("country")], [Cat("province_strata")],
 ]
+STATISTICS = {
+    "Observations": "n", "R2": "r_squared", "Adjusted R2": "adj_r_squared", "Residual error": "sigma", "F": "f_statistic",
+}
 CONTROLS = {
     "Sector controls": "^sector2", "Origin country controls": "^country", "Region controls": "^province",
 }
@@ -98,6 +110,7 @@ def wage_report(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
         keep=["eth_dens", "sex", "years_final", "education_eng_class", "age_final", "age_sq_final"],
         omit=["sector2", "country", "province_strata"],
         controls=CONTROLS,
+        statistics=STATISTICS,
     )
 
 
@@ -111,7 +124,7 @@ def plain_terms(density: str) -> dict[str, list]:
             [Num("age"), Num("age_sq")],
             [SEX],
             [PERMIT],
-            [SECTOR],
+            [RAW_SECTOR],
             [Cat("country_short")],
             [Cat("province")],
         ],
@@ -121,7 +134,7 @@ def plain_terms(density: str) -> dict[str, list]:
 def interactions(density: str) -> dict[str, Inter]:
     """Density interacted with sector, country and work permit."""
     return {
-        "9": Inter(SECTOR, Num(density)),
+        "9": Inter(RAW_SECTOR, Num(density)),
         "10": Inter(Cat("country_short"), Num(density)),
         "11": Inter(PERMIT, Num(density)),
     }

@@ -430,6 +430,7 @@ RELATIVE_CHANGES = {
     "eth_dens_change_rel_all_imm_1998_2007": "eth_dens_change_all_imm_1998_2007",
     "eth_dens_change_rel_wi_imm_1998_2007": "eth_dens_change_wi_imm_1998_2007",
 }
+# Names of the output contract.
 LOGS = [
     "month_earn", "month_earn_est", "hour_earn", "eth_dens_change_1998_2007", "eth_dens_prov_1",
     "eth_dens_prov_1_relative", "eth_dens_prov_2006", "eth_dens_prov_2006_relative",
@@ -470,6 +471,7 @@ def unemployment_joins(df: DataFrame, refs: References) -> DataFrame:
     return df
 
 
+# Names of the output contract.
 SUBSET = [
     "IDQ", "NPERS", "arrival_spain_yr", "arrival_spain_mo", "arrival_spain_dt", "arrival_spain_qt",
     "arrival_mun", "years", "age", "age_arrival", "age_sq", "age_arrival_sq", "sex", "education",

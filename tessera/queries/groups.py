@@ -131,6 +131,22 @@ def crosstab_cells(spark, folder):
     return crosstab_text(cells, "priority", "segment", cell_text("whole", F.col("n")), SEGMENTS)
 
 
+@query(
+    f"""
+    WITH {_CROSS}, text AS (SELECT priority, segment, rtrim(rtrim(printf('%.1f', round(mean / 1000, 1)), '0'), '.') || ' ('
+                            || rtrim(rtrim(printf('%.2f', round(sd / 1000, 2)), '0'), '.') || ')' AS t FROM shown)
+    SELECT priority, max(t) FILTER (segment = 'BUILDING') AS "BUILDING",
+           max(t) FILTER (segment = 'FURNITURE') AS "FURNITURE",
+           max(t) FILTER (segment = 'MACHINERY') AS "MACHINERY", max(t) FILTER (segment = 'Total') AS "Total"
+    FROM text GROUP BY 1
+    """
+)
+def crosstab_cells_sd(spark, folder):
+    """Decimal text cells ``mean (sd)`` in thousands."""
+    text = cell_text(F.col("mean") / 1000, F.col("sd") / 1000, main_digits=1, extra_digits=2)
+    return crosstab_text(_cells(spark, folder), "priority", "segment", text, SEGMENTS)
+
+
 @query(
     """
     SELECT p_brand, count(*) AS freq FROM part GROUP BY 1 HAVING count(*) > 80

@@ -472,14 +472,20 @@ def _text(estimate: str, error: str) -> str:
                  (regr_syy(price, month) - regr_slope(price, month) * regr_slope(price, month) * regr_sxx(price, month))
                  / (count(*) - 2) AS s2 FROM facts),
     plain AS (SELECT *, (n - 2)::DOUBLE AS d, sqrt(s2 / sxx) AS eb FROM p),
-    wide AS (SELECT *, (n - k - 1)::DOUBLE AS d, sqrt(s2 / sxx) AS eb FROM e)
+    wide AS (SELECT *, (n - k - 1)::DOUBLE AS d, sqrt(s2 / sxx) AS eb FROM e),
+    tss AS (SELECT regr_syy(price, month) AS t FROM facts)
     SELECT 1 AS position, 'Month' AS term, (SELECT {_text('b', 'eb')} FROM plain) AS plain,
            (SELECT {_text('b', 'eb')} FROM wide) AS nation
     UNION ALL SELECT 1 + count(DISTINCT nation)::INTEGER, 'Nation controls', 'No', 'Yes' FROM facts
+    UNION ALL SELECT 2 + count(DISTINCT nation)::INTEGER, 'Observations', count(*)::VARCHAR, count(*)::VARCHAR FROM facts
+    UNION ALL SELECT 3 + (SELECT count(DISTINCT nation) FROM facts)::INTEGER, 'R2',
+           (SELECT format('{{:.3f}}', 1 - s2 * d / t) FROM plain, tss), (SELECT format('{{:.3f}}', 1 - s2 * d / t) FROM wide, tss)
+    UNION ALL SELECT 4 + (SELECT count(DISTINCT nation) FROM facts)::INTEGER, 'F',
+           (SELECT format('{{:.3f}}', (t - s2 * d) / s2) FROM plain, tss), (SELECT format('{{:.3f}}', (t - s2 * d) / k / s2) FROM wide, tss)
     """
 )
 def coefficient_table(spark, folder):
-    """Models side by side: kept terms renamed, stars, a controls row."""
+    """Models side by side: kept terms renamed, stars, a controls row, fit statistics."""
     fits = fit_family(
         facts(spark, folder), "price", {"plain": ["month"], "nation": ["month", "nation"]}
     )
@@ -490,6 +496,7 @@ def coefficient_table(spark, folder):
         omit=["nation"],
         names={"month": "Month"},
         controls={"Nation controls": "^nation"},
+        statistics={"Observations": "n", "R2": "r_squared", "F": "f_statistic"},
     )
 
 

@@ -35,12 +35,14 @@ def coefficient_table(
     names: Mapping[str, str] | None = None,
     controls: Mapping[str, str] | None = None,
     digits: int = 3,
+    statistics: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per term, one text column per model.
 
     ``keep`` and ``omit`` are patterns on term names, ``names`` renames terms,
     and ``controls`` adds Yes/No rows: label -> pattern of the terms whose
-    presence it reports. Terms keep their model order.
+    presence it reports. ``statistics`` adds rows of fit statistics: label ->
+    ``n`` or a key of the fit's summary. Terms keep their model order.
     """
     long = coefficients_long(spark, fits)
     shown = long
@@ -61,8 +63,8 @@ def coefficient_table(
     table = shown.groupBy("term").pivot("model", models).agg(F.first(text))
     order = shown.groupBy("term").agg(F.min("position").alias("position"))
     table = table.join(order, "term").select("position", "term", *models)
+    base = len(max((f.names for f in fits.values()), key=len))
     if controls:
-        base = len(max((f.names for f in fits.values()), key=len))
         flags = [
             long.groupBy()
             .pivot("model", models)
@@ -71,9 +73,24 @@ def coefficient_table(
             for i, (label, pattern) in enumerate(controls.items())
         ]
         table = reduce(lambda a, b: a.unionByName(b), flags, table)
+    if statistics:
+        start = base + len(controls or {})
+        rows = [
+            (start + i, label, *(_statistic(f, key, digits) for f in fits.values()))
+            for i, (label, key) in enumerate(statistics.items())
+        ]
+        fields = "position int, term string, " + ", ".join(f"`{m}` string" for m in models)
+        table = table.unionByName(spark.createDataFrame(rows, fields))
     return table.orderBy("position", "term")
 
 
+def _statistic(fit: Fit, key: str, digits: int) -> str | None:
+    if key == "n":
+        return str(fit.n)
+    value = fit.summary.get(key)
+    return None if value is None else f"{value:.{digits}f}"
+
+
 def marginal_grid(
     spark: SparkSession, fit: Fit, over: Mapping[str, Sequence | None], z: float = 1.959963984540054
 ) -> DataFrame:
