@@ -348,12 +348,21 @@ def social_items(df: DataFrame) -> DataFrame:
     )
 
 
+def work_history() -> dict[str, Column]:
+    """Three-valued flags: worked before arrival, worked before in the country."""
+    before = F.col("sector1").isNotNull() | (F.col("TRAB1") == 1) | (F.col("TRANT") == 1)
+    here = F.col("sector3").isNotNull() | (F.col("PRIMTR") == 6) | (F.col("TRANTE") == 1)
+    not_here = (F.col("PRIMTR") == 1) | (F.col("TRANTE") == 6)
+    answered = ~(F.col("TRAB1").isNull() & F.col("TRANT").isNull())
+    return {
+        "had_worked": r_ifelse(before, F.lit(1), F.when(answered, 0)),
+        "had_worked_spain": F.when(is_true(here), 1).when(not_here, 0),
+    }
+
+
 def derive_person(df: DataFrame) -> DataFrame:
     """Person, work and social variables that need no other derived variable."""
     year = F.col("job_search_start_yr")
-    working_before = F.col("sector1").isNotNull() | (F.col("TRAB1") == 1) | (F.col("TRANT") == 1)
-    worked_spain = F.col("sector3").isNotNull() | (F.col("PRIMTR") == 6) | (F.col("TRANTE") == 1)
-    not_spain = (F.col("PRIMTR") == 1) | (F.col("TRANTE") == 6)
     permit = member_of("DOCUM", [1, 2, 3]) | (F.col("country_eu") == "Yes")
     no_permit_info = F.col("DOCUM").isNull() & F.col("country_eu").isNull()
     return df.withColumns(
@@ -387,12 +396,7 @@ def derive_person(df: DataFrame) -> DataFrame:
             "other": F.col("OTRS"),
             "working": yes_no("TRAB2"),
             "was_working": yes_no("TRAB1"),
-            "had_worked": r_ifelse(
-                working_before,
-                F.lit(1),
-                F.when(~(F.col("TRAB1").isNull() & F.col("TRANT").isNull()), 0),
-            ),
-            "had_worked_spain": F.when(is_true(worked_spain), 1).when(not_spain, 0),
+            **work_history(),
             "month_earn": F.col("INGRE"),
             "month_earn_est": bracket_value("INGRE", "INGRTR", INCOME_MIDPOINTS),
             "lt_search_1mo": r_ifelse(F.col("TPO1") <= 2, 1, 0),
