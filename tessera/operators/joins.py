@@ -38,7 +38,7 @@ def duplicate_keys(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def require_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Raise when a left join to ``dim`` would multiply rows."""
+    """Raise when a left join to ``dim`` would multiply rows (runs a job at once)."""
     bad = duplicate_keys(dim, keys).head(1)
     if bad:
         raise ValueError(f"dimension key {list(keys)} is not unique, e.g. {bad[0].asDict()}")
@@ -96,7 +96,7 @@ def fill_from_rows(
     skip: Sequence[str] = (),
     order: Column | None = None,
 ) -> DataFrame:
-    """Fill ``out`` from a lookup built out of the same rows.
+    """Fill ``out`` from a lookup built out of the same rows (written at once).
 
     Per ``lookup_key`` the value of the last row in ``order`` wins; without an
     order, the greatest value. Both are map-side combined, so a hot key costs

@@ -147,7 +147,11 @@ class Populations:
 
 
 def wage_population(df: DataFrame) -> DataFrame:
-    """Economic immigrants with complete cases, in countries and strata of some size."""
+    """Economic immigrants with complete cases, in countries and strata of some size.
+
+    Each of the two size rules runs a job while the frame is built; hand in a
+    stored table.
+    """
     woman_with_family = (
         (F.col("sex") == "Female") & (F.col("dependents") > 0) & (F.col("partner_convive") == 1)
     )
