@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import stage_derived
 
+#: Links that one task of an iteration writes, at least; few links then make few files.
+LINKS_PER_TASK = 200_000
+
 
 def _smallest_neighbour(edges: DataFrame, both: bool) -> DataFrame:
     """One step: tie each node's neighbours to the smallest id near the node.
@@ -49,8 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage_derived(edges)
     before, now = None, _state(edges)
     while before != now:
-        edges = stage_derived(_smallest_neighbour(edges, both=True))
-        edges = stage_derived(_smallest_neighbour(edges, both=False))
+        tasks = now[0] // LINKS_PER_TASK + 1  # steps do not add links
+        for both in (True, False):
+            edges = stage_derived(_smallest_neighbour(edges, both).coalesce(tasks))
         before, now = now, _state(edges)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

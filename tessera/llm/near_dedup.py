@@ -10,10 +10,12 @@ exhaustively as well, so no node is capped. With 20 trees a pair at J = 0.8
 that needs three levels is missed with probability 2e-6, two levels 1e-9.
 
 Groups of thousands of near copies would make such comparisons quadratic, so
-a first pass compares every member of a node with the node's smallest member
-only. The links found there join most of a group, and later passes compare
-members of different components only; as components are the result, no link
-that matters is skipped.
+a first pass compares every member of a node with the node's most central
+member only. The links found there join most of a group. What resembles such a
+hub, linked or not, is its group; a group that is not yet one component is
+compared in full, block against block, and only links that join components
+leave the tasks. The trees then compare members of different components and
+groups only; as components are the result, no link that matters is skipped.
 
 Candidates are thinned by an estimate from the minwise values (bound chosen so
 that a pair at the threshold fails it with probability under 1e-7) and then
@@ -42,6 +44,8 @@ DEPTH = 4
 STAR_TREES = 8
 STAR_LEVEL = 2
 LEAF = 24
+#: Texts in a block of a group that is compared pair by pair.
+BLOCK = 256
 #: Bits of the id filter that keeps unwanted texts out of a shuffle: 2 MB,
 #: whatever the corpus; a fuller filter lets more texts pass, never fewer.
 FILTER_BITS = 1 << 24
@@ -146,11 +150,20 @@ def _by_tree(classes: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def star_candidates(classes: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
-    """Pairs of each node's smallest member with its other members."""
+    """Pairs of each node's most central member with its other members.
+
+    Central is what shares large nodes in many trees: the text that copies
+    were made from agrees with most of them. Counts and maxima are grouped,
+    so a large node is one summary row.
+    """
     rows = _by_tree(classes.select("fp", "n", "path"), trees, depth).select(_node(level).alias("node"), "fp", "n")
-    heads = rows.groupBy("node").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("members"))
-    heads = heads.filter("members > 1").select("node", F.col("head.fp").alias("a"), F.col("head.n").alias("n_a"))
-    pairs = rows.join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stage_derived(rows.join(sizes, "node"))
+    central = shared.groupBy("fp").agg(F.round(F.sum(F.log("members")), 6).alias("central"))
+    ranked = shared.join(central, "fp").select("node", F.struct("central", "fp", "n").alias("who"))
+    heads = ranked.groupBy("node").agg(F.max("who").alias("who"))
+    heads = heads.select("node", F.col("who.fp").alias("a"), F.col("who.n").alias("n_a"))
+    pairs = shared.select("node", "fp", "n").join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a"))
     return pairs.select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -158,31 +171,113 @@ def _sizes_fit(n: str, m: str, percent: int = 80):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def path_candidates(classes: DataFrame, labels: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
+def halo_groups(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each class of a likely star pair with one ``hub``: the one with most members."""
+    sizes = stars.groupBy("a").agg(F.count("*").alias("members"))
+    sized = stars.join(sizes, "a").select("a", "b", "members")
+    ends = sized.select(F.col("b").alias("fp"), F.struct("members", F.col("a").alias("hub")).alias("best"))
+    ends = ends.union(sized.select("a", F.struct("members", "a")).distinct())
+    hubs = ends.groupBy("fp").agg(F.max("best").alias("best")).select("fp", F.col("best.hub").alias("hub"))
+    return hubs.join(classes.select("fp", "rep"), "fp")
+
+
+def _local_links(texts: list[bytes], component: list[int], width: int, percent: int):
+    """Index pairs of linked texts that join components of one pair of blocks.
+
+    Intersections are products of incidence rows, a range of shingles at a
+    time; of the links found, only those that join what is still apart leave.
+    """
+    sets = [shingle_set(t, width) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = uses[column] > 1  # a shingle of one text adds to no intersection
+    owner, column = owner[kept], np.unique(column[kept], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = (column >= start) & (column < start + 4096)
+        rows = np.zeros((len(sets), 4096), dtype=np.float32)
+        rows[owner[part], column[part] - start] = 1
+        common += rows @ rows.T
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    root = {c: c for c in component}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = find(component[i]), find(component[j])
+        if a != b:
+            root[b] = a
+            yield int(i), int(j)
+
+
+def settled_links(docs: DataFrame, groups: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside every hub's group that is not yet one component, all pairs compared.
+
+    A group is cut into blocks of about ``BLOCK`` texts and every pair of
+    blocks is one bounded piece of work that compares whole sets and returns
+    only links that join components, so neither pairs nor a large group are
+    ever listed or gathered.
+    """
+    labelled = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    labelled = labelled.select("fp", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+    still = labelled.groupBy("hub").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    still = still.filter("low < high").select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_rows = stage_derived(labelled.join(still, "hub"))
+    texts = wanted_texts(docs, open_rows.select("fp", "rep"), width)
+    block = F.pmod(F.hash("fp"), F.col("blocks")).alias("block")
+    rows = open_rows.join(texts, "fp").select("hub", "rep", "component", "text", block, "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pieces = rows.select("hub", "rep", "component", "text", "block", other)
+    pieces = pieces.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def work(table: pa.Table) -> pa.Table:
+        reps, found = table["rep"].to_pylist(), []
+        if len(reps) > 1:
+            pairs = _local_links(table["text"].to_pylist(), table["component"].to_pylist(), width, percent)
+            found = [(reps[i], reps[j]) for i, j in pairs]
+        u, v = zip(*found) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    pieces = pieces.select("hub", "i", "j", "rep", "component", "text")
+    return pieces.groupBy("hub", "i", "j").applyInArrow(work, "u long, v long")
+
+
+def path_candidates(
+    classes: DataFrame, labels: DataFrame, groups: DataFrame, trees: int, depth: int, leaf: int
+) -> DataFrame:
     """Pairs of different components that share a node small enough to compare.
 
-    A node whose members all belong to one component is settled. The others
+    Pairs of one hub's group have been compared and are left out. A node whose members all belong to one component is settled. The others
     are compared exhaustively once they have at most ``leaf`` members or lie
     at the last level; larger ones move on by one level. Each level's open
     nodes are written once.
     """
     labelled = classes.select("fp", "rep", "n", "path").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = _by_tree(labelled.select("fp", "n", "path", F.coalesce("component", "rep").alias("component")), trees, depth)
+    labelled = labelled.join(groups.select("fp", "hub"), "fp", "left")
+    # a class without a hub is its own, so that the comparison below needs no NULL rule
+    hub = F.coalesce("hub", "fp").alias("hub")
+    rows = _by_tree(labelled.select("fp", "n", "path", hub, F.coalesce("component", "rep").alias("component")), trees, depth)
     ready = []
     for level in range(1, depth + 1):
         rows = rows.withColumn("node", _node(level))
         open_nodes = rows.groupBy("node").agg(
-            F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
+            F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min("hub").alias("first"), F.max("hub").alias("last"),
         )
-        open_nodes = open_nodes.filter("members > 1 and low < high").select("node", "members")
+        open_nodes = open_nodes.filter("members > 1 and low < high and first < last").select("node", "members")
         found = stage_derived(rows.join(open_nodes, "node"))
         small = found if level == depth else found.filter(F.col("members") <= leaf)
-        ready.append(small.select("node", "fp", "n", "component"))
+        ready.append(small.select("node", "fp", "n", "component", "hub"))
         rows = found.filter(F.col("members") > leaf).drop("node", "members")
     members = reduce(DataFrame.union, ready)
-    left = members.toDF("node", "a", "n_a", "c_a")
-    right = members.toDF("node", "b", "n_b", "c_b")
-    apart = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit("n_a", "n_b")
+    left = members.toDF("node", "a", "n_a", "c_a", "h_a")
+    right = members.toDF("node", "b", "n_b", "c_b", "h_b")
+    apart = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.col("h_a") != F.col("h_b")) & _sizes_fit("n_a", "n_b")
     return left.join(right, (left["node"] == right["node"]) & apart).select("a", "b").distinct()
 
 
@@ -257,7 +352,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield fields(["u", "v"], [batch.column(0), batch.column(1)]).filter(pa.array(good, pa.bool_()))
 
-    pairs = stage_derived(pairs)
+    pairs = stage_derived(pairs)  # read three times below
     ends = pairs.select(F.col("a").alias("fp"), F.col("rep_a").alias("rep"))
     ends = ends.union(pairs.select("b", "rep_b")).distinct()
     texts = stage_derived(wanted_texts(docs, ends, width))
@@ -283,10 +378,14 @@ def near_duplicates(
     """
     sketched = stage_derived(sketches(docs, width, trees, depth))
     classes = stage_derived(set_classes(sketched))
-    stars = likely(star_candidates(classes, min(STAR_TREES, trees), depth, min(STAR_LEVEL, depth)), classes, trees, depth)
+    stars = star_candidates(classes, min(STAR_TREES, trees), depth, min(STAR_LEVEL, depth))
+    stars = stage_derived(likely(stars, classes, trees, depth))
     links = stage_derived(confirmed(stars, docs, width, percent))
     first = stage_derived(components(links))
-    paths = likely(path_candidates(classes, first, trees, depth, leaf), classes, trees, depth)
+    groups = stage_derived(halo_groups(stars, classes))
+    links = stage_derived(links.union(settled_links(docs, groups, first, width, percent)))
+    first = stage_derived(components(links))
+    paths = likely(path_candidates(classes, first, groups, trees, depth, leaf), classes, trees, depth)
     links = links.union(confirmed(paths, docs, width, percent))
     groups = stage_derived(components(links))
     by_set = classes.select("fp", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
