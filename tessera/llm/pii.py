@@ -3,14 +3,23 @@
 Generators of high recall propose spans that may overlap: loose addresses
 (also spelt "name at host dot tld"), dotted numbers, and digit runs with
 separators. Each candidate is described by its format (length, digits,
-separators, group shape) and context (neighbouring characters, cue words
-before it). Boosted trees, trained on a bounded sample of the corpus's own
-candidates, score it; the base patterns' validated spans are the positive
-examples, all other candidates the negative ones. The threshold of each
-generator is the least score whose share of validated spans, on candidates
-held out from training, reaches ``PRECISION``. Candidates above it that touch
-no base span become spans of kind ``likely``, the best-scored first where
-they overlap one another.
+separators, group shape, checksum) and context (neighbouring characters, cue
+words before it). Boosted trees, trained on a bounded sample of the corpus's
+own candidates, score it.
+
+What the base patterns validate is never added, so it teaches only in other
+spellings: each base span is written anew in its own place without what the
+pattern asks for (``respelt``: no plus, no @, other separators; a wrong octet
+or check digit beside a cue word, or in groups of four; a cue word),
+and what the generators then propose is a positive example. Negative examples
+are random strings of the generators' own syntax in the same places
+(``random_forms``). Candidates of the corpus that touch no base span are
+unlabelled: only those that a first fit scores below nearly every positive
+become negatives of the second one. The threshold of each generator is the
+least score from which precision, unlabelled candidates counting as positive
+by their score, reaches ``PRECISION`` on documents held out from training.
+Candidates above it that touch no base span become spans of kind ``likely``,
+the best-scored first where they overlap one another.
 
 Defined cases: NULL text counts as empty; an empty text has no spans and the
 digest of the empty string; without positive examples no span is added; a
@@ -21,7 +30,9 @@ repeated row gives a repeated result; other columns are passed over, and
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,15 +52,25 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_LOOSE_MAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\])\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]{1,63}){1,5}")
-_DOTTED = re.compile(r"(?<![\w.])\d{1,6}(?:\.\d{1,6}){2,7}(?![\w])")
+_SPELT_DOT = r"(?:\s?[\[({]dot[\])}]\s?|\sdot\s)"
+_LOOSE_MAIL = re.compile(
+    r"(?i)(?<![\w.%+-])[\w.%+-]{1,64}(?:(?:\s?@\s?|\s?[\[({]at[\])}]\s?)[\w-]{1,63}(?:(?:\.|\s\.\s|" + _SPELT_DOT + r")[\w-]{1,63}){1,5}"
+    r"|\sat\s[\w-]{1,63}(?:" + _SPELT_DOT + r"[\w-]{1,63}){1,5})"
+)
+_DOTTED = re.compile(r"(?<![\w.])\d{1,6}(?:(?:\.|[\[(]\.[\])]|\s?[\[({]dot[\])}]\s?)\d{1,6}){2,7}(?![\w])")
 _DIGITS = re.compile(r"(?<![\w])\+?\(?\d(?:[\x20().-]{0,2}\d){6,29}(?![\w])")
 GENERATORS = (("mail", _LOOSE_MAIL), ("dotted", _DOTTED), ("digits", _DIGITS))
+_SPELT_MAIL = re.compile(r"(?i)at[\])}]|\sdot\s")
 _CUES = re.compile(r"(?i:mail|phone|tel|call|fax|card|visa|account|ip|host|addr|contact|ssn|id)\b")
 
+_ENDINGS = ("com", "org", "net", "de", "fr", "io", "es", "info", "co.uk")
+_CALLS = ("tel ", "call ", "phone: ", "Tel.: ", "fax ", "mail ", "contact: ")
+
 #: Documents (about) and candidates (at most) to train and calibrate the trees on.
 SAMPLE_DOCS, SAMPLE = 100_000, 20_000
 PRECISION = 0.98
+#: Scores are counted in so many bins; positives below the threshold at least.
+BINS, MISSED = 1000, 0.01
 
 
 def _luhn(digits: str) -> bool:
@@ -98,12 +119,74 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for g, (_, pattern) in enumerate(GENERATORS):
         if g and not any(c in text for c in "0123456789"):
             break
-        if g == 0 and "@" not in text and "at)" not in text and "at]" not in text:
+        if g == 0 and "@" not in text and not _SPELT_MAIL.search(text):
             continue
         out += [(g, *m.span()) for m in pattern.finditer(text)]
     return out
 
 
+def respelt(kind: str, body: str, rng: random.Random) -> list[str]:
+    """Spellings of a base span that its pattern does not match."""
+    if kind == "email":
+        local, _, domain = body.partition("@")
+        short = re.split(r"[._%+-]", local)[0] or local
+        names = domain.split(".")
+        ways = ((" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("(at)", "(dot)"))
+        out = []
+        for at, dot in ways:
+            end = names if rng.random() < 0.3 else [*names[-2 if rng.random() < 0.5 else 0 : -1], rng.choice(_ENDINGS)]
+            out.append(rng.choice((local, short, short + str(rng.randrange(100)))) + at + dot.join(end))
+        return out
+    if kind == "ip":
+        parts = body.split(".")
+        parts[rng.randrange(len(parts))] = str(rng.randrange(256, 1000))
+        return [*[body.replace(".", dot) for dot in ("[.]", "(dot)", " [dot] ")], rng.choice(("ip ", "host ", "IP: ", "addr ")) + ".".join(parts)]
+    groups = re.findall(r"[0-9]+", body)
+    digits = "".join(groups)
+    if kind == "card":
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        wrong = digits[:-1] + str((int(digits[-1]) + rng.randrange(1, 10)) % 10)
+        split = [wrong[i : i + 4] for i in range(0, len(wrong), 4)]
+        cued = [rng.choice(("card ", "visa ", "Card: ", "account ")) + w for w in (wrong, " ".join(split))]
+        return [*[sep.join(fours) for sep in (".", "  ", ". ")], "-".join(split), " ".join(split), *cued]
+    area, middle, last = groups[1:] if len(groups) == 4 else (digits[-10:-7], digits[-7:-4], digits[-4:])
+    short, longer = f"{middle}-{last}", f"{digits[-8:-4]} {digits[-4:]}"
+    full = [body[1:], *[sep.join((area, middle, last)) for sep in "-. "], f"({area}) {middle}-{last}", f"({area}) {middle} {last}", f"({area}){middle}{last}"]
+    cued = [rng.choice(_CALLS) + way for way in (area + middle + last, middle + last, digits[-8:], short, longer, rng.choice(full))]
+    return [*full, short, f"{middle} {last}", longer, longer.replace(" ", "-"), *cued]
+
+
+def random_forms(rng: random.Random) -> list[str]:
+    """Strings that follow the syntax of each generator and nothing else."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("aeinorst") for _ in range(n))
+    part = lambda: rng.choice((digits, letters))(rng.randrange(1, 13))
+    out = [part() + rng.choice(("@", " @ ", "(at)", " [at] ")) + rng.choice((".", "(dot)", " [dot] ")).join(part() for _ in range(rng.randrange(2, 5)))]
+    dot = rng.choice((".", ".", ".", "[.]", "(dot)"))
+    out += [dot.join(digits(rng.randrange(1, 7)) for _ in range(rng.randrange(3, 9))) for _ in range(2)]
+    for _ in range(6):
+        seps = rng.choice(("-", " ", ".", "-. ", "(-) "))
+        out.append("".join(digits(rng.randrange(1, 9)) + rng.choice(seps) for _ in range(rng.randrange(1, 6))) + digits(rng.randrange(1, 9)))
+    return [*out, digits(rng.randrange(7, 30)), digits(rng.randrange(7, 30))]
+
+
+def examples(text: str, kind: str, start: int, end: int) -> list[tuple[int, int, list[float]]]:
+    """Label, generator and features of what is proposed in place of a base span."""
+    out = []
+    rng = random.Random(zlib.crc32(text[max(0, start - 60) : end].encode("utf-8", "replace")))
+    before, after = text[max(0, start - 60) : start], text[end : end + 20]
+    if rng.random() < 0.2:
+        before += rng.choice(_CALLS)
+    ways = [(1, w) for w in dict.fromkeys(respelt(kind, text[start:end], rng))] + [(0, w) for w in random_forms(rng)]
+    for label, way in ways:
+        near, low, high = before + way + after, len(before), len(before) + len(way)
+        touched = [(b, f) for _, b, f in base_spans(near) if b < high and low < f]
+        for g, s, e in candidates(near):
+            if min(e, high) - max(s, low) >= 0.5 * max(e - s, high - low) and not any(b < e and s < f for b, f in touched):
+                out.append((label, g, describe(near, g, s, e)))
+    return out
+
+
 def describe(text: str, generator: int, start: int, end: int) -> list[float]:
     """Format and context features of a candidate."""
     body = text[start:end]
@@ -117,27 +200,32 @@ def describe(text: str, generator: int, start: int, end: int) -> list[float]:
         float(max((int(g[:6]) for g in groups), default=0)), float(body.count(".")), float(body.count("-")), float(body.count(" ")),
         float("@" in body), float(body.startswith("+")), float("(" in body),
         float(len(tail[0]) if tail else 0), float(len(set(body)) / max(1, len(body))),
+        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
+        float(13 <= digits <= 19 and _luhn("".join(groups))), float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
+        float(bool(_SPELT_MAIL.search(body))), float("dot" in body.lower() or "[.]" in body),
         float(before.isspace()), float(after.isspace()), float(after in ".,;:!?"),
         float(bool(_CUES.search(text[max(0, start - 30) : start]))),
     ]
 
 
 def candidate_table(docs: DataFrame) -> DataFrame:
-    """Every candidate with its features and whether a base pattern validates it."""
+    """Examples in place of base spans (``valid`` 1 or 0), and candidates that touch no base span (NULL)."""
 
     def work(batches):
         for batch in slices(batches):
             ids, rows, good, kinds = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = candidates(text) if text else []
-                if not found:
+                if not text:
                     continue
                 base = base_spans(text)
-                for g, s, e in found:
+                found = [x for span in base for x in examples(text, *span)]
+                free = [c for c in candidates(text) if not any(b < c[2] and c[1] < f for _, b, f in base)]
+                found += [(None, g, describe(text, g, s, e)) for g, s, e in free]
+                for valid, g, x in found:
                     ids.append(doc_id)
                     kinds.append(g)
-                    rows.append(describe(text, g, s, e))
-                    good.append(int(any(b < e and s < f and min(e, f) - max(s, b) >= 0.8 * max(e - s, f - b) for _, b, f in base)))
+                    rows.append(x)
+                    good.append(valid)
             yield fields(
                 ["doc_id", "generator", "features", "valid"],
                 [pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(good, pa.int32())],
@@ -147,8 +235,39 @@ def candidate_table(docs: DataFrame) -> DataFrame:
     return read.mapInArrow(work, "doc_id long, generator int, features array<double>, valid int")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[BoostedTrees, list[float]] | None:
-    """Trees and a threshold per generator from at most ``sample`` candidates.
+def trees(x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    """Trees from examples and unlabelled rows (NaN), of which the sure negatives teach."""
+    known = ~np.isnan(y)
+    first = BoostedTrees().fit(x[known], y[known])
+    scores = first.score(x)
+    sure = np.isnan(y) & (scores < min(0.5, np.quantile(scores[y == 1], MISSED)))
+    return BoostedTrees().fit(x[known | sure], np.where(known, y, 0.0)[known | sure])
+
+
+def bin_of(scores: np.ndarray) -> np.ndarray:
+    """Score bins, evenly spaced in log odds, so that both ends are told apart."""
+    p = np.clip(scores, 1e-9, 1 - 1e-9)
+    return np.clip((np.log(p / (1 - p)) + 12) / 24 * BINS, 0, BINS - 1).astype(int)
+
+
+def least_bin(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray, precision: float = PRECISION) -> int:
+    """Least bin from which the precision is reached; ``BINS`` for none.
+
+    Unlabelled candidates of a bin are positive by its score. The least score
+    is one that all but ``MISSED`` of the positives reach.
+    """
+    share = 1 / (1 + np.exp(12 - 24 * (np.arange(BINS) + 0.5) / BINS))
+    from_here = lambda counts: counts[::-1].cumsum()[::-1]
+    good, everything = from_here(positive + share * unlabelled), from_here(positive + negative + unlabelled)
+    passed = (everything > 0) & (good >= precision * everything)
+    if not positive.sum() or not passed.any():
+        return BINS
+    reached = np.nonzero(from_here(positive) >= (1 - MISSED) * positive.sum())[0][-1]
+    return int(max(passed.argmax(), reached))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[BoostedTrees, list[int]] | None:
+    """Trees and a least score bin per generator from at most ``sample`` candidates.
 
     They come from about ``SAMPLE_DOCS`` documents, chosen like the candidates
     by a hash; a third of them, whole documents, calibrates the thresholds.
@@ -156,24 +275,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     chosen = candidate_table(thinned(docs, SAMPLE_DOCS)).orderBy(F.xxhash64("doc_id", "features"), "doc_id").limit(sample)
     rows = chosen.select("generator", "features", "valid", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")).collect()
     x = np.array([r["features"] for r in rows], dtype=float).reshape(len(rows), -1)
-    y = np.array([r["valid"] for r in rows], dtype=float)
+    y = np.array([np.nan if r["valid"] is None else r["valid"] for r in rows], dtype=float)
     held = np.array([bool(r["held"]) for r in rows])
     kind = np.array([r["generator"] for r in rows])
-    if len(rows) < 50 or not y[~held].any():
+    if len(rows) < 50 or not (y[~held] == 1).any():
         return None
-    model = BoostedTrees().fit(x[~held], y[~held])
-    scores = model.score(x[held])
-    limits = []
-    for g in range(len(GENERATORS)):
-        own = kind[held] == g
-        order = np.argsort(-scores[own], kind="stable")
-        good = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
-        passed = np.nonzero(good >= precision)[0]
-        limits.append(float(scores[own][order][passed[-1]]) if len(passed) else 2.0)
+    model = trees(x[~held], y[~held])
+    at = bin_of(model.score(x))
+    groups = (y == 1, y == 0, np.isnan(y))
+    limits = [least_bin(*[np.bincount(at[held & (kind == g) & own], minlength=BINS) for own in groups], precision) for g in range(len(GENERATORS))]
     return model, limits
 
 
-def all_spans(texts: Sequence[str], model: tuple[BoostedTrees, list[float]] | None) -> list[list[tuple[str, int, int]]]:
+def all_spans(texts: Sequence[str], model: tuple[BoostedTrees, list[int]] | None) -> list[list[tuple[str, int, int]]]:
     """Base and added spans of each text, base first, by kind and then start."""
     out, asked = [base_spans(t) if t else [] for t in texts], []
     if model is None:
@@ -184,7 +298,7 @@ def all_spans(texts: Sequence[str], model: tuple[BoostedTrees, list[float]] | No
                 asked.append((i, g, s, e))
     if asked:
         scores = model[0].score(np.array([describe(texts[i], g, s, e) for i, g, s, e in asked]))
-        best = sorted((-p, i, s, e) for p, (i, g, s, e) in zip(scores, asked) if p >= model[1][g])
+        best = sorted((-p, i, s, e) for p, b, (i, g, s, e) in zip(scores, bin_of(scores), asked) if b >= model[1][g])
         taken: dict[int, list[tuple[int, int]]] = {}
         for _, i, s, e in best:
             own = taken.setdefault(i, [])
@@ -219,7 +333,7 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def redacted(model: tuple[BoostedTrees, list[float]] | None) -> Column:
+def redacted(model: tuple[BoostedTrees, list[int]] | None) -> Column:
     """Column function: a text with each span replaced by its kind in angle brackets.
 
     Overlapping spans are replaced as one, under the kind that starts first.
