@@ -380,3 +380,39 @@ def test_other_spellings_are_found_and_ordinary_numbers_left(spark):
     got = {i: [text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in rows[i].split(",") if x) if k == "likely"] for i in text}
     assert sum(got[i] == [case] for i, case in wanted.items()) >= 0.9 * len(wanted)
     assert sum(len(found) for i, found in got.items() if i not in wanted) <= 2
+
+
+# repetition below the fixed limits
+
+
+def repeating(rng, share, of):
+    """A text of 120 words: this share of its words in repeated phrases, or of its lines equal to an earlier one."""
+    if of == "words":
+        phrase, parts = words(rng, 8), words(rng, 120 - round(120 * share))
+        return " ".join(parts[:40] + phrase * (round(120 * share) // 8) + parts[40:])
+    lines = [" ".join(words(rng, 2)) for _ in range(60)]
+    again = round(60 * share)
+    return "\n".join(lines[: 60 - again] + lines[:1] * again)
+
+
+def test_repetition_below_the_fixed_limits_is_rejected(spark):
+    rng = random.Random(12)
+    texts = [(i, " ".join(words(rng, rng.randrange(60, 200)))) for i in range(400)]
+    texts += [(1000 + i, repeating(rng, 0.4, "words")) for i in range(5)]
+    shares = (0.5, 0.7, 0.95)
+    texts += [(2000 + i, repeating(rng, shares[i % 3], "lines")) for i in range(6)]
+    rows = {r.doc_id: r for r in rules.rule_results(documents(spark, texts)).collect()}
+    planted = [r for i, r in rows.items() if 1000 <= i < 2000]
+    assert not any(r.base_failed or r.kept for r in planted)
+    assert not any(r.kept for i, r in rows.items() if i >= 2000)
+    assert all(r.kept for i, r in rows.items() if i < 1000)
+
+
+def test_repeated_lines_alone_are_rejected(spark):
+    rng = random.Random(13)
+    rows = [(f"{i}", "en", "s", False, rng.gauss(1.6, 0.03), 0.0, 0.0, 0.0) for i in range(400)]
+    rows += [(f"lines {share}", "en", "s", False, 1.6, 0.0, 0.0, float(np.arcsin(np.sqrt(share)))) for share in (0.5, 0.7, 0.95)]
+    rows += [("words", "en", "s", False, 1.6, 0.0, float(np.arcsin(np.sqrt(0.4))), 0.0), ("one line", "en", "s", False, 1.6, 0.0, 0.0, float(np.arcsin(np.sqrt(0.05))))]
+    df = spark.createDataFrame(rows, "name string, lang string, source string, base_failed boolean, x0 double, x1 double, x2 double, x3 double")
+    out = {r.name for r in rules.verdict(df, rules.fit(df)).collect() if not r.kept}
+    assert out == {"lines 0.5", "lines 0.7", "lines 0.95", "words"}
