@@ -1,8 +1,10 @@
 """Secrets in texts: fixed patterns, and tokens that look random.
 
 Base spans come from three patterns. Further candidates are runs of 20 or more
-characters of an encoding (hex, base32, lower case with digits, base64); each
-gets a battery of three tests of randomness over its inferred alphabet:
+characters of an encoding; each gets a battery of three tests of randomness
+over the alphabet it uses (hex in lower, upper or mixed case, base32, one case
+with digits, alphanumeric, base64, base64url). Dashes between runs of hex, as
+in a UUID, are separators:
 chi-squared uniformity, the runs test about the alphabet's middle, and lag-one
 serial correlation. A candidate becomes a span ``random`` when
 
@@ -10,7 +12,8 @@ serial correlation. A candidate becomes a span ``random`` when
   Bonferroni corrected, at least ``LEVEL``), and
 * it is a discovery against ordinary text: the p-value of so even a use of
   letters in a token of that length drawn from the corpus's own character
-  counts (chi-squared, non-central) passes a weighted Benjamini-Hochberg step
+  counts (chi-squared, non-central; for hex also the chance that letters of
+  its case are all a to f) passes a weighted Benjamini-Hochberg step
   over all candidates of the corpus, weights in proportion to length, as long
   tokens can be told apart better.
 
@@ -50,8 +53,16 @@ ALPHABETS = {
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _UPPER.lower(),
     "upper36": _DIGITS + _UPPER,
-    "base64": _UPPER + _UPPER.lower() + _DIGITS + "+/-_",
+    "upper_hex": _DIGITS + "ABCDEF",
+    "mixed_hex": _DIGITS + "abcdefABCDEF",
+    "alphanumeric": _UPPER + _UPPER.lower() + _DIGITS,
+    "base64": _UPPER + _UPPER.lower() + _DIGITS + "+/",
+    "base64url": _UPPER + _UPPER.lower() + _DIGITS + "-_",
+    "base66": _UPPER + _UPPER.lower() + _DIGITS + "+/-_",
 }
+_DASHED_HEX = re.compile(r"[0-9a-fA-F]{2,}(?:-[0-9a-fA-F]{2,})+")
+#: Narrowest first.
+_ORDER = ("hex", "upper_hex", "mixed_hex", "base32", "base36", "upper36", "alphanumeric", "base64", "base64url", "base66")
 #: Share of false discoveries among the added spans, and level of the battery.
 FDR, LEVEL = 0.01, 0.001
 #: Weighted p-values are counted in bins of a tenth of a decade, the last open.
@@ -71,10 +82,13 @@ def encoding_of(token: str) -> str | None:
     kinds = {"l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in token}
     if len(kinds) == 1 or not kinds & {"l", "u"}:
         return None
-    for name in ("hex", "base32", "base36", "upper36", "base64"):
-        if set(token) <= set(ALPHABETS[name]):
-            return name
-    return None
+    used = set(token)
+    return next(name for name in _ORDER if used <= set(ALPHABETS[name]))
+
+
+def symbols(token: str) -> str:
+    """The token's characters that carry its value: without the dashes of dashed hex."""
+    return token.replace("-", "") if _DASHED_HEX.fullmatch(token) else token
 
 
 def _tail(z: float) -> float:
@@ -148,7 +162,14 @@ def unevenness(counts: np.ndarray) -> dict[str, float]:
     return out
 
 
-def scan(docs: DataFrame, uneven: dict[str, float]) -> DataFrame:
+def hex_letters(counts: np.ndarray) -> dict[str, float]:
+    """-log10 of the share of a to f in ordinary letters, for each hex alphabet."""
+    lower, upper = counts[97:123] + 0.5, counts[65:91] + 0.5
+    cases = {"hex": lower, "upper_hex": upper, "mixed_hex": lower + upper}
+    return {name: -math.log10(own[:6].sum() / own.sum()) for name, own in cases.items()}
+
+
+def scan(docs: DataFrame, uneven: dict[str, float], letters: dict[str, float]) -> DataFrame:
     """Base spans of every text and its candidates with both p-values."""
 
     def work(batches):
@@ -161,11 +182,14 @@ def scan(docs: DataFrame, uneven: dict[str, float]) -> DataFrame:
                 cover = [(s, e) for s, e, _ in base]
                 tokens = []
                 for m in _TOKEN.finditer(text):
-                    name = encoding_of(m[0])
+                    body = symbols(m[0])
+                    name = encoding_of(body)
                     if name is None or any(s < m.end() and m.start() < e for s, e in cover):
                         continue
-                    chi, random = battery(m[0], ALPHABETS[name])
-                    odds = ordinary_tail(chi, len(m[0]), len(ALPHABETS[name]), uneven[name])
+                    chi, random = battery(body, ALPHABETS[name])
+                    odds = ordinary_tail(chi, len(body), len(ALPHABETS[name]), uneven[name])
+                    if name in letters:
+                        odds += letters[name] * sum(c.isalpha() for c in body)
                     tokens.append({"start": m.start(), "end": m.end(), "random": random, "odds": odds})
                 named = [f"{k}:{s}:{e}" for s, e, k in base]
                 digest = hashlib.sha256(",".join(named).encode()).hexdigest()
@@ -219,7 +243,8 @@ def secret_spans(docs: DataFrame, fdr: float = FDR, level: float = LEVEL) -> Dat
     Scans the texts twice (character counts, then spans) and keeps the narrow
     second result in the shared folder; no text is shuffled.
     """
-    scanned = stage_derived(scan(docs, unevenness(character_counts(docs))))
+    counts = character_counts(docs)
+    scanned = stage_derived(scan(docs, unevenness(counts), hex_letters(counts)))
     mean, least = discovery_limit(scanned, fdr)
     weighted = lambda t: t["odds"] + F.log10((t["end"] - t["start"]) / F.lit(mean))
     accepted = F.filter("tokens", lambda t: (t["random"] >= F.lit(level)) & (weighted(t) >= F.lit(least)))

@@ -416,3 +416,25 @@ def test_repeated_lines_alone_are_rejected(spark):
     df = spark.createDataFrame(rows, "name string, lang string, source string, base_failed boolean, x0 double, x1 double, x2 double, x3 double")
     out = {r.name for r in rules.verdict(df, rules.fit(df)).collect() if not r.kept}
     assert out == {"lines 0.5", "lines 0.7", "lines 0.95", "words"}
+
+
+# encodings of random tokens
+
+
+def test_random_tokens_of_every_encoding_are_found(spark):
+    rng = random.Random(21)
+    upper, both = "0123456789ABCDEF", "0123456789abcdefABCDEF"
+    url, plain = secrets.ALPHABETS["base64"][:62] + "-_", secrets.ALPHABETS["base64"][:62]
+    token = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    make = [
+        *[lambda n=n: token(upper, n) for n in (32, 40, 64)], *[lambda n=n: token(both, n) for n in (32, 64)],
+        lambda: "-".join(token("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(token(upper, n) for n in (8, 4, 4, 4, 12)),
+        *[lambda n=n: token(plain, n) for n in (600, 1000, 1600)], *[lambda n=n: token(plain + "+/", n) for n in (1000, 1600, 3000)],
+        lambda: token(url, 3000),
+    ]
+    ordinary = ["DEADBEEFDEADBEEFDEADBEEFDEADBEEF", "well-known-facade-of-the-decade", "InternationalisationOfCharacters2Encodings"]
+    texts = [(i, " ".join(words(rng, 80) + ["THE OTHER WORDS OF OUR TOWN ARE IN UPPER CASE, most others in this story run on in lower, as usual for prose from our town, with just a few Titles"] + [make[i // 4 % len(make)]() if i % 4 == 0 else ordinary[i % 3]])) for i in range(8 * len(make))]
+    rows = {r.doc_id: r for r in secrets.secret_spans(documents(spark, texts)).collect()}
+    kinds = {i: i // 4 % len(make) for i in rows if i % 4 == 0}
+    assert [(k, rows[i].spans) for i, k in kinds.items() if rows[i].n_random != 1] == []
+    assert not any(r.n_random for i, r in rows.items() if i not in kinds)
