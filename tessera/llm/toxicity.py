@@ -1,8 +1,9 @@
 """Toxicity by compression: two zstandard dictionaries and their lengths.
 
 The ordinary dictionary is trained on windows of ordinary texts. The toxic one
-is trained on the words that toxic texts use significantly more often than
-ordinary ones, and also holds the ordinary content, so that a window compresses
+is trained on windows around the words that toxic texts use significantly more
+often than ordinary ones (without the ordinary words in them), followed by
+those words themselves, each once, and also holds the ordinary content, so that a window compresses
 alike under both unless toxic wording occurs in it. A text is cut into windows
 of ``WINDOW`` words; its statistic is the mean number of bytes, above one,
 that the toxic dictionary saves per window. A held part of the training labels
@@ -36,10 +37,11 @@ from tessera.llm.quality import isotonic
 
 SAMPLE = 20_000
 WORDS, WINDOWS, WINDOW_BYTES = 2_000, 100_000, 400
-#: Words per window; least likelihood-ratio z, frequency ratio and support
-#: (share of the toxic texts, and texts) of a typical word.
-WINDOW, TYPICAL, RATIO, SUPPORT, SUPPORT_ROWS = 5, 4.5, 4.0, 0.012, 4
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 24_576, 8_192, 3
+#: Words per window; least likelihood-ratio z, frequency ratio and toxic texts
+#: of a typical word. The z is high, as all words of the corpus are tested and few texts overstate it.
+WINDOW, TYPICAL, RATIO, SUPPORT_ROWS = 5, 6.5, 4.0, 4
+#: The trained parts; all typical words are appended to the toxic one.
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 24_576, 4_096, 3
 BINS = 300
 _STRIP = b".,;:!?\"'()"
 
@@ -127,7 +129,7 @@ def typical_words(rows: DataFrame) -> list[tuple[bytes, int]]:
     p, q = F.col("toxic") / float(n_toxic), (F.col("plain") + 1) / float(n_plain + 2)
     others = (float(n_toxic) - F.col("toxic")) * F.log(F.greatest(1 - p, F.lit(1e-12)) / (1 - q))
     z = F.sqrt(F.greatest(F.lit(0.0), 2 * (F.col("toxic") * F.log(p / q) + others)))
-    often = F.col("toxic") >= max(SUPPORT_ROWS, SUPPORT * n_toxic)
+    often = F.col("toxic") >= SUPPORT_ROWS
     found = _word_counts(rows).filter("word <> X''").filter(often & (p >= RATIO * q)).withColumn("z", z).filter(F.col("z") >= TYPICAL)
     return [(bytes(r["word"]), int(r["toxic"])) for r in found.orderBy(F.desc("z"), "word").limit(WORDS).collect()]
 
@@ -142,6 +144,24 @@ def _ordinary_windows(rows: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in cut.orderBy(F.xxhash64("window"), "window").limit(WINDOWS).collect()]
 
 
+def _typical_windows(rows: DataFrame, words: list[bytes]) -> list[bytes]:
+    """Windows of toxic texts around typical words, without their other words."""
+    typical = frozenset(words)
+
+    def work(batches):
+        for batch in slices(batches):
+            flat = []
+            for text in batch.column(0).to_pylist():
+                for window in windows(text or b""):
+                    own = [x for x in (w.strip(_STRIP) for w in window.split()) if x in typical]
+                    if own:
+                        flat.append((b" " + b" ".join(own) + b" ")[:WINDOW_BYTES])
+            yield fields(["window"], [pa.array(flat, pa.binary())])
+
+    cut = rows.filter("label = 1").select("text").mapInArrow(work, "window binary")
+    return [bytes(r[0]) for r in cut.orderBy(F.xxhash64("window"), "window").limit(WINDOWS).collect()]
+
+
 def _trained(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary's bytes, or the samples themselves where they are too few to train on."""
     try:
@@ -175,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     learn = rows.filter("not check").dropDuplicates(["label", "key"])
     words = typical_words(learn)
     toxic = b""
-    if words:  # the trainer may keep few of so repetitive samples, so each word follows once, the most typical last
-        trained = _trained([b" " + w + b" " for w, n in words for _ in range(n)], TOXIC_BYTES // 2)
-        toxic = (trained + b"".join(b" " + w + b" " for w, _ in reversed(words)))[-TOXIC_BYTES:]
+    if words:  # the trainer keeps few of so repetitive samples, so each word follows once, the most typical last
+        trained = _trained(_typical_windows(learn, [w for w, _ in words]), TOXIC_BYTES)
+        toxic = trained + b"".join(b" " + w[:WINDOW_BYTES] + b" " for w, _ in reversed(words))
     model = ToxicityModel(_trained(_ordinary_windows(learn), ORDINARY_BYTES) if toxic else b"", toxic, float(rate))
     if toxic:
         steps = _calibration(rows.filter("check"), model)

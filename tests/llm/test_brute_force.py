@@ -438,3 +438,24 @@ def test_random_tokens_of_every_encoding_are_found(spark):
     kinds = {i: i // 4 % len(make) for i in rows if i % 4 == 0}
     assert [(k, rows[i].spans) for i, k in kinds.items() if rows[i].n_random != 1] == []
     assert not any(r.n_random for i, r in rows.items() if i not in kinds)
+
+
+# rare toxic words
+
+
+def test_rare_toxic_words_make_texts_toxic(spark):
+    rng = random.Random(31)
+    rare = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(90)]
+    texts, labels = [], []
+    for i in range(5400):
+        bad, w = i % 2 == 0, words(rng, 40)
+        for slur in [rare[i // 2 % 90]] if bad else []:
+            for _ in range(4):
+                w[rng.randrange(40)] = slur
+        texts.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.toxicity_scores(documents(spark, texts), known).join(known, "doc_id").filter("held_out").collect()
+    found = sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows)
+    assert found >= 0.9, found
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
