@@ -17,7 +17,8 @@ are random strings of the generators' own syntax in the same places
 unlabelled: only those that a first fit scores below nearly every positive
 become negatives of the second one. The threshold of each generator is the
 least score from which precision, unlabelled candidates counting as positive
-by their score, reaches ``PRECISION`` on documents held out from training.
+by their score, reaches ``PRECISION``, counted over held examples and all
+documents' candidates.
 Candidates above it that touch no base span become spans of kind ``likely``,
 the best-scored first where they overlap one another.
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.boosting import BoostedTrees
-from tessera.llm.common import fields, slices, thinned
+from tessera.llm.common import fields, slices, stage_derived, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -66,8 +67,8 @@ _CUES = re.compile(r"(?i:mail|phone|tel|call|fax|card|visa|account|ip|host|addr|
 _ENDINGS = ("com", "org", "net", "de", "fr", "io", "es", "info", "co.uk")
 _CALLS = ("tel ", "call ", "phone: ", "Tel.: ", "fax ", "mail ", "contact: ")
 
-#: Documents (about) and candidates (at most) to train and calibrate the trees on.
-SAMPLE_DOCS, SAMPLE = 100_000, 20_000
+#: Candidates of each generator and label to train the trees on, at most.
+SAMPLE = 7_000
 PRECISION = 0.98
 #: Scores are counted in so many bins; positives below the threshold at least.
 BINS, MISSED = 1000, 0.01
@@ -266,25 +267,53 @@ def least_bin(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray
     return int(max(passed.argmax(), reached))
 
 
+def _training_rows(table: DataFrame, sample: int) -> list:
+    """At most ``sample`` candidates of each generator and label, chosen by a hash of the id."""
+    learn, out = table.filter("not held"), []
+    for g in range(len(GENERATORS)):
+        for label in ("valid = 1", "valid = 0", "valid is null"):
+            own = thinned(learn.filter((F.col("generator") == g) & F.expr(label)), 2 * sample)
+            out += own.orderBy(F.xxhash64("doc_id", "features"), "doc_id").limit(sample).select("features", "valid").collect()
+    return out
+
+
+def score_counts(table: DataFrame, model: BoostedTrees) -> np.ndarray:
+    """Candidates by generator, label (1, 0, unlabelled) and score bin, over all rows of ``table``."""
+
+    def work(batches):
+        counts = np.zeros((len(GENERATORS), 3, BINS), dtype=np.int64)
+        for batch in slices(batches, 4096):
+            kind = batch.column(0).to_numpy(zero_copy_only=False)
+            label = np.array([2 if v is None else 1 - v for v in batch.column(2).to_pylist()], dtype=int)
+            at = bin_of(model.score(np.array(batch.column(1).to_pylist(), dtype=float)))
+            np.add.at(counts, (kind, label, at), 1)
+        cell = np.nonzero(counts.ravel())[0]
+        yield fields(["cell", "n"], [pa.array(cell, pa.int64()), pa.array(counts.ravel()[cell], pa.int64())])
+
+    total = np.zeros((len(GENERATORS), 3, BINS), dtype=np.int64)
+    parts = table.select("generator", "features", "valid").mapInArrow(work, "cell long, n long")
+    for row in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total.ravel()[row["cell"]] = row["n"]
+    return total
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[BoostedTrees, list[int]] | None:
-    """Trees and a least score bin per generator from at most ``sample`` candidates.
+    """Trees and a least score bin per generator.
 
-    They come from about ``SAMPLE_DOCS`` documents, chosen like the candidates
-    by a hash; a third of them, whole documents, calibrates the thresholds.
+    The trees learn from at most ``sample`` candidates of each generator and
+    label, from two thirds of the documents. Thresholds come from histograms
+    of scores: the other third's examples and every document's unlabelled
+    candidates. Writes the candidates to the shared folder.
     """
-    chosen = candidate_table(thinned(docs, SAMPLE_DOCS)).orderBy(F.xxhash64("doc_id", "features"), "doc_id").limit(sample)
-    rows = chosen.select("generator", "features", "valid", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")).collect()
-    x = np.array([r["features"] for r in rows], dtype=float).reshape(len(rows), -1)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    table = stage_derived(candidate_table(docs).withColumn("held", held))
+    rows = _training_rows(table, sample)
     y = np.array([np.nan if r["valid"] is None else r["valid"] for r in rows], dtype=float)
-    held = np.array([bool(r["held"]) for r in rows])
-    kind = np.array([r["generator"] for r in rows])
-    if len(rows) < 50 or not (y[~held] == 1).any():
+    if len(rows) < 50 or not (y == 1).any():
         return None
-    model = trees(x[~held], y[~held])
-    at = bin_of(model.score(x))
-    groups = (y == 1, y == 0, np.isnan(y))
-    limits = [least_bin(*[np.bincount(at[held & (kind == g) & own], minlength=BINS) for own in groups], precision) for g in range(len(GENERATORS))]
-    return model, limits
+    model = trees(np.array([r["features"] for r in rows], dtype=float), y)
+    counts = score_counts(table.filter("held or valid is null"), model)
+    return model, [least_bin(*own, precision) for own in counts]
 
 
 def all_spans(texts: Sequence[str], model: tuple[BoostedTrees, list[int]] | None) -> list[list[tuple[str, int, int]]]:

@@ -459,3 +459,15 @@ def test_rare_toxic_words_make_texts_toxic(spark):
     found = sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows)
     assert found >= 0.9, found
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
+
+
+# rare generators beside frequent ones
+
+
+def test_rare_generator_keeps_its_threshold_beside_many_digits(spark):
+    rng = random.Random(41)
+    texts = [(i, f"see u{i}.x@mail{i % 9}.example.com and jo{i} (at) host{i % 5} (dot) example (dot) com") for i in range(40)]
+    texts += [(100 + i, "of " + " and ".join("9" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(40))) for i in range(300)]
+    rows = {r.doc_id: r for r in pii.pii_spans(documents(spark, texts), sample=400).collect()}
+    assert sum(rows[i].n_likely == 1 for i in range(40)) >= 36
+    assert not any(r.n_likely for i, r in rows.items() if i >= 100)
