@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, near_dedup, packing, pii, quality, rules, secrets, topk, toxicity, url_filter
+from tessera.llm import (
+    bpe, near_dedup, packing, pii, quality, repair, rules, secrets, token_counts, topk, toxicity, url_filter, whitening,
+)
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +190,21 @@ def op3_url_filter(spark, folder):
 def op6_packing(spark, folder):
     """Length buckets and token-budget batches of all texts."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query()
+def op11_token_counts(spark, folder):
+    """Bytes and tokens of every text under the byte-level vocabulary."""
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op12_embedding_whitening(spark, folder):
+    """Sixteen whitened components of every vector."""
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_conversation_repair(spark, folder):
+    """Faults, cheapest repair and repaired text of every damaged conversation."""
+    return repair.damage_report(table(spark, folder, "conversations"))
