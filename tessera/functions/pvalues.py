@@ -2,7 +2,8 @@
 
 Spark SQL has no error function or incomplete beta. The math library that
 ships with Spark does, and ``java_method`` reaches its static methods on the
-executors. Used on test results (one row per level or term), not per data row.
+executors. Used on test results (one row per level or term) and on the grouped
+cells or scored rows of a probit.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def _static(cls: str, method: str, *args: Column) -> Column:
     return F.when(known, F.java_method(F.lit(cls), F.lit(method), *safe).cast("double"))
 
 
+def erfc(x: Column) -> Column:
+    """Complementary error function."""
+    return _static(_ERF, "erfc", x.cast("double"))
+
+
 def p_normal(z) -> Column:
     """Two-sided standard normal tail."""
     z = as_col(z).cast("double")

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.plans.analysis import EDUCATION, EDUCATION_NUMBERS, PERMIT, SECTOR, SEX
 from tessera.stats.design import Cat, Inter, Num
-from tessera.stats.discrete import logit
+from tessera.stats.discrete import binary_family
 from tessera.stats.fit import Fit
 from tessera.stats.linear import InstrumentFit, iv, model_family, nested_test
 from tessera.stats.report import coefficient_table, marginal_grid
-from tessera.stats.selection import SelectionFit, heckman, iv_selection
+from tessera.stats.selection import SelectionFit, heckman_family, iv_selection
 
 def _some_studies_first(labels: Sequence[str]) -> tuple[str, ...]:
     """The uncoarsened labels in rank order, but with the unclear level as reference."""
@@ -78,8 +78,8 @@ def wage_models(relative: bool = False) -> dict[str, tuple[list, list]]:
 def fit_wage_models(
     wage: DataFrame, models: Mapping[str, tuple[list, list]], y: str = "log_hour_earn"
 ) -> dict[str, SelectionFit]:
-    """Each model deletes rows by its own terms, so each is fitted on its own."""
-    return {name: heckman(wage, "wage_data", sel, y, out) for name, (sel, out) in models.items()}
+    """Each model deletes rows by its own terms; all of them share every pass."""
+    return heckman_family(wage, "wage_data", y, models)
 
 
 def fit_instruments(wage: DataFrame, y: str = "log_hour_earn") -> InstrumentFit:
@@ -175,4 +175,5 @@ def search_family(
     )
     models = plain_terms(density)
     models["9"] = [*models["8"], interactions(density)["9"]]
-    return {n: logit(rows, y, models[n]).fit for n in (names or models)}
+    found = binary_family(rows, y, {n: models[n] for n in (names or models)}, "logit")
+    return {n: f.fit for n, f in found.items()}

@@ -9,11 +9,13 @@ choosing a reference level cost no pass over the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,15 +216,24 @@ class Design:
                 j += 1
         return matrix
 
-    def model_columns(self, skip: Sequence[str] = ()) -> list[tuple[str, Column]]:
-        """Model columns as expressions, for fits that need rows, not sums."""
-        out = []
-        for b in self.blocks:
-            for name, weights in zip(b.names, b.weights):
-                if name not in skip:
-                    parts = [self.raw_column(k) * F.lit(v) for k, v in weights.items()]
-                    out.append((name, reduce(lambda a, c: a + c, parts)))
-        return out
+    def separate_factor(self, least: int) -> tuple[Block, str] | None:
+        """The factor with most levels, at least ``least``, that is a main effect beside an intercept and in no product."""
+        inside = {p.column for t in self.terms if isinstance(t, Inter) for p in (t.left, t.right)}
+        sizes = [(len(self.levels[b.term.column]), b) for b in self.blocks if isinstance(b.term, Cat) and b.term.column not in inside]
+        if not self.intercept or not sizes:
+            return None
+        size, block = max(sizes, key=lambda s: s[0])
+        return (block, block.term.column) if size >= least else None
+
+    @staticmethod
+    def level_contrasts(term: Cat, k: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Levels with a coefficient, and the weights of the levels they and the intercept stand against."""
+        first, mean = np.eye(k)[0], np.full(k, 1.0 / k)
+        if term.coding == "treatment":
+            return list(range(1, k)), first, first
+        if term.coding == "centered":
+            return list(range(1, k)), first, mean
+        return list(range(k - 1)), mean, mean
 
     def row(self, values: dict) -> np.ndarray:
         """Model columns for one combination of regressor values."""
@@ -240,55 +251,62 @@ class Design:
             [sum(raw(k) * v for k, v in w.items()) for b in self.blocks for w in b.weights]
         )
 
-    def linear_predictor(self, coefficients: dict[str, float]) -> Column:
-        """Model value per row; NULL for an unknown input or an unseen level."""
-        parts = []
-        for b in self.blocks:
-            beta = [coefficients.get(n, 0.0) for n in b.names]
-            if b.names == [INTERCEPT]:
-                parts.append(F.lit(float(beta[0])))
-            elif isinstance(b.term, Inter):
-                parts.append(self._inter_value(b.term, dict(zip(b.names, beta))))
-            else:
-                parts.append(self._part_value(b.term, beta))
-        return reduce(lambda a, c: a + c, parts)
-
-    def _part_value(self, part: Num | Cat, beta: Sequence[float]) -> Column:
-        if isinstance(part, Num):
-            return F.col(part.column).cast("double") * F.lit(float(beta[0]))
-        matrix, _ = contrast_matrix(self.levels[part.column], part.coding)
-        return self._level_value(part.column, matrix @ np.asarray(beta, dtype=float))
-
-    def _level_value(self, column: str, values: Sequence[float]) -> Column:
-        chain = None
-        text = F.col(column).cast("string")
-        for level, value in zip(self.levels[column], values):
-            hit, lit = text == F.lit(level), F.lit(float(value))
-            chain = F.when(hit, lit) if chain is None else chain.when(hit, lit)
-        return chain
-
-    def _inter_value(self, term: Inter, beta: dict[str, float]) -> Column:
-        left = [n for n, _ in self._parts(term.left)]
-        right = [n for n, _ in self._parts(term.right)]
-        table = np.array([[beta.get(f"{a}:{b}", 0.0) for b in right] for a in left])
-        if isinstance(term.left, Num) and isinstance(term.right, Num):
-            product = F.col(term.left.column) * F.col(term.right.column)
-            return product.cast("double") * F.lit(float(table[0, 0]))
-        if isinstance(term.left, Num):
-            return self._part_value(term.right, table[0, :]) * F.col(term.left.column).cast("double")
-        if isinstance(term.right, Num):
-            return self._part_value(term.left, table[:, 0]) * F.col(term.right.column).cast("double")
-        matrix_left, _ = contrast_matrix(self.levels[term.left.column], term.left.coding)
-        chain = None
-        text = F.col(term.left.column).cast("string")
-        for i, level in enumerate(self.levels[term.left.column]):
-            value = self._part_value(term.right, matrix_left[i, :] @ table)
-            hit = text == F.lit(level)
-            chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-        return chain
-
-
-def _levels_of(column: str) -> Column:
+    def with_value(self, rows: DataFrame, coefficients: Mapping[str, float], out: str) -> DataFrame:
+        """Add the model's value; NULL for an unknown input or an unseen level.
+
+        The coefficients of a factor are a table of levels that the rows join;
+        a small one is broadcast by its size, a large one is not. ``out`` may
+        not name a column that the model uses.
+        """
+        constant, slopes, tables = self._values(coefficients)
+        numbers = self.numbers
+
+        def scaled(value: Column, names: tuple[str, ...]) -> Column:
+            return reduce(lambda a, b: a * b, [numbers[n] for n in names], value)
+
+        parts = [F.lit(constant), *[scaled(F.lit(v), names) for names, v in slopes.items()]]
+        helpers = []
+        for t, (columns, by_level) in enumerate(tables.items()):
+            powers = list(dict.fromkeys(n for values in by_level.values() for n in values))
+            keys, values = [f"__{out}_k{t}_{i}" for i in range(len(columns))], [f"__{out}_v{t}_{i}" for i in range(len(powers))]
+            data = {k: [levels[i] for levels in by_level] for i, k in enumerate(keys)}
+            data |= {v: [found.get(n, 0.0) for found in by_level.values()] for v, n in zip(values, powers)}
+            types = [pa.string()] * len(keys) + [pa.float64()] * len(values)
+            side = rows.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(data.values(), types)], list(data)))
+            same = [F.col(c).cast("string") == F.col(k) for c, k in zip(columns, keys)]
+            rows = rows.join(side, reduce(lambda a, b: a & b, same), "left")
+            parts += [scaled(F.col(v), n) for v, n in zip(values, powers)]
+            helpers += [*keys, *values]
+        return rows.withColumn(out, reduce(lambda a, b: a + b, parts)).drop(*helpers)
+
+    def _values(self, coefficients: Mapping[str, float]) -> tuple[float, dict, dict]:
+        """Coefficients by raw key: constant, slopes of numbers, and level tables per set of factors."""
+        constant, slopes, tables = 0.0, {}, {}
+        for block in self.blocks:
+            for name, weights in zip(block.names, block.weights):
+                beta = coefficients.get(name, 0.0)
+                for key, weight in weights.items():
+                    parts = key if isinstance(key[0], tuple) else (key,)
+                    numbers = tuple(p[0] for p in parts if len(p) == 1 and p != ("1",))
+                    levels = dict(p for p in parts if len(p) == 2)
+                    if levels:
+                        columns = tuple(sorted(levels))
+                        table = tables.setdefault(columns, {}).setdefault(tuple(levels[c] for c in columns), {})
+                        table[numbers] = table.get(numbers, 0.0) + beta * weight
+                    elif numbers:
+                        slopes[numbers] = slopes.get(numbers, 0.0) + beta * weight
+                    else:
+                        constant += beta * weight
+        for column in factors(self.terms):
+            tables.setdefault((column,), {})
+        # a reference level has no weight of its own, yet is a known level
+        for columns, by_level in tables.items():
+            for levels in product(*(self.levels[c] for c in columns)):
+                by_level.setdefault(levels, {})
+        return constant, slopes, tables
+
+
+def _levels_of(column: Column) -> Column:
     """Distinct values in their own order, as text."""
     return F.transform(F.array_sort(F.collect_set(column)), lambda v: v.cast("string"))
 
@@ -303,17 +321,49 @@ def resolve(
     the sums well conditioned. ``numeric`` names further columns (the
     response) to centre.
     """
-    terms = list(terms)
-    cats = factors(terms)
-    numbers = [c for c in dict.fromkeys([*used_columns(terms), *numeric]) if c not in cats]
-    means = df.agg(
-        F.count("*").alias("n"),
-        *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numbers)],
-        *[_levels_of(c).alias(f"l{i}") for i, c in enumerate(cats)],
-    ).first()
-    levels = {}
-    for i, (c, spec) in enumerate(cats.items()):
-        seen = list(means[f"l{i}"])
-        levels[c] = [v for v in map(str, spec.levels) if v in set(seen)] if spec.levels else seen
-    shifts = {c: float(means[f"m{i}"] or 0.0) for i, c in enumerate(numbers)}
-    return Design(terms, levels, shifts), int(means["n"])
+    return resolve_all(df, [Wanted(terms, numeric)])[0]
+
+
+@dataclass
+class Wanted:
+    """Terms to resolve over the rows where ``mask`` holds, each counted ``count`` times.
+
+    ``columns`` gives expressions for names that the rows do not hold under that
+    name; ``totals`` are sums over the same rows, which ``resolve_all`` leaves in ``found``.
+    """
+
+    terms: Sequence[Term]
+    numeric: Sequence[str] = ()
+    mask: Column | None = None
+    count: Column | None = None
+    columns: Mapping[str, Column] = field(default_factory=dict)
+    totals: Mapping[str, Column] = field(default_factory=dict)
+    found: dict[str, float] = field(default_factory=dict)
+
+
+def resolve_all(df: DataFrame, wanted: Sequence[Wanted]) -> list[tuple[Design, int]]:
+    """Designs and row counts of several models over one table, in one job."""
+    asked, plan = {}, []
+    for m, w in enumerate(wanted):
+        cats = factors(w.terms)
+        numbers = [c for c in dict.fromkeys([*used_columns(w.terms), *w.numeric]) if c not in cats]
+        mask = F.lit(True) if w.mask is None else w.mask
+        asked[f"n{m}"] = F.sum(F.when(mask, F.lit(1) if w.count is None else w.count))
+        for i, c in enumerate(numbers):
+            asked[f"m{m}_{i}"] = F.avg(F.when(mask, w.columns.get(c, F.col(c)).cast("double")))
+        for i, c in enumerate(cats):
+            asked[f"l{m}_{i}"] = _levels_of(F.when(mask, F.col(c)))
+        for i, c in enumerate(w.totals.values()):
+            asked[f"t{m}_{i}"] = F.sum(F.when(mask, c))
+        plan.append((cats, numbers))
+    row = df.agg(*[c.alias(n) for n, c in asked.items()]).first()
+    out = []
+    for m, (w, (cats, numbers)) in enumerate(zip(wanted, plan)):
+        levels = {}
+        for i, (c, spec) in enumerate(cats.items()):
+            seen = list(row[f"l{m}_{i}"])
+            levels[c] = [v for v in map(str, spec.levels) if v in set(seen)] if spec.levels else seen
+        shifts = {c: float(row[f"m{m}_{i}"] or 0.0) for i, c in enumerate(numbers)}
+        w.found.update({c: float(row[f"t{m}_{i}"] or 0.0) for i, c in enumerate(w.totals)})
+        out.append((Design(list(w.terms), levels, shifts), int(row[f"n{m}"] or 0)))
+    return out

@@ -1,23 +1,34 @@
-"""Logit and probit by Spark's iteratively reweighted least squares."""
+"""Logit and probit by Newton steps on grouped cells.
+
+Rows with equal regressors become one cell with a count and a number of
+successes, so a model of factors is fitted on as many rows as there are level
+combinations. Every step joins the coefficients by level, sums score,
+information and likelihood in one job for all models of a family, and solves
+the small system on the driver. No expression grows with the levels.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.stats.design import INTERCEPT, as_terms, complete_rows, resolve, used_columns
+from tessera.functions.pvalues import erfc
+from tessera.sources.tables import stage_derived
+from tessera.stats.design import INTERCEPT, Design, Wanted, as_terms, complete_rows, resolve_all, used_columns
 from tessera.stats.fit import Fit
-from tessera.stats.gram import independent, inverse, product_sums
-from tessera.stats.linear import model_rows
+from tessera.stats.gram import CellSums, SumSpec, solve_normal, sum_products
 
 ETA, MU = "__eta", "__mu"
+RESIDUAL = "__residual"
+#: A step this small (in units of its own information) is the last one.
+DECREMENT = 1e-14
+HALVINGS = 30
 
 
 def density(eta) -> Column:
@@ -26,108 +37,150 @@ def density(eta) -> Column:
     return F.exp(-eta * eta / 2) / F.lit(math.sqrt(2 * math.pi))
 
 
+def probability(eta: Column, link: str) -> Column:
+    """Fitted probability, kept off 0 and 1 by the least double can hold."""
+    if link == "logit":
+        return 1 / (1 + F.exp(-eta))
+    return F.greatest(erfc(-eta / math.sqrt(2)) / 2, F.lit(1e-300))
+
+
 @dataclass
 class DiscreteFit:
     """A binary-response fit and the means to score rows with it."""
 
     fit: Fit
-    model: object
-    features: list[tuple[str, Column]]
+    link: str
 
-    def score(self, rows: DataFrame) -> DataFrame:
+    def score(self, rows: DataFrame, eta: str = ETA, mu: str = MU) -> DataFrame:
         """Add the linear predictor and the fitted probability to complete rows."""
-        names = [f"__f{i}" for i in range(len(self.features))]
-        wide = rows.select("*", *[c.alias(n) for n, (_, c) in zip(names, self.features)])
-        assembled = VectorAssembler(inputCols=names, outputCol="__v").transform(wide)
-        return self.model.transform(assembled).drop("__v", *names)
-
-
-def binary_fit(
-    df: DataFrame, y: str, terms: Sequence, link: str, max_iter: int = 100, staged: bool = False
-) -> DiscreteFit:
-    """Logit or probit of a 0/1 (or boolean) column.
-
-    The model's columns are written once and every pass reads them; ``staged``
-    says that ``df`` already is such a table of complete rows. A fit that has
-    not converged after ``max_iter`` steps raises. Spark's solver takes up to
-    4,096 model columns. Aliased columns are found from one cross-product pass and left out of the
-    iterations; the covariance is the inverse information matrix at the
-    solution, from one weighted pass.
+        return self.fit.predict(rows, eta).withColumn(mu, probability(F.col(eta), self.link))
+
+
+class _Newton:
+    """One model on its way to the maximum."""
+
+    def __init__(self, place: int, name: str, design: Design, n: int, mask: Column, share: float, link: str):
+        if n == 0:
+            raise ValueError(f"no complete rows for {name}")
+        self.place, self.name, self.design, self.n, self.mask, self.link = place, name, design, n, mask, link
+        inside = min(max(share, 0.5 / n), 1 - 0.5 / n)
+        start = math.log(inside / (1 - inside)) if link == "logit" else NormalDist().inv_cdf(inside)
+        self.beta = {c: 0.0 for c in design.names} | {INTERCEPT: start}
+        self.before: tuple[float, dict[str, float]] | None = None
+        self.kept: list[str] = []
+        self.halvings = 0
+        self.done = False
+        self.loglik, self.vcov = -math.inf, np.zeros((0, 0))
+
+    @property
+    def eta(self) -> str:
+        return f"__eta{self.place}"
+
+    def attach(self, cells: DataFrame) -> DataFrame:
+        return self.design.with_value(cells, self.beta, self.eta)
+
+    def spec(self) -> SumSpec:
+        """Information, score (through the working residual) and likelihood of every cell."""
+        eta = F.col(self.eta)
+        eta = F.greatest(F.least(eta, F.lit(36.0)), F.lit(-36.0)) if self.link == "probit" else eta
+        n, hits = F.col("__n"), F.col("__hits")
+        p, q = probability(eta, self.link), probability(-eta, self.link)
+        slope = p * q if self.link == "logit" else density(eta)
+        weight = F.when(self.mask, n * slope * slope / (p * q))
+        residual = (hits / n * q - (1 - hits / n) * p) / slope
+        gain = F.when(hits > 0, hits * F.ln(p)).otherwise(0.0) + F.when(hits < n, (n - hits) * F.ln(q)).otherwise(0.0)
+        keys = [*self.design.raw_keys, (RESIDUAL,)]
+        return SumSpec(keys, {**self.design.numbers, RESIDUAL: residual}, weight, {"loglik": gain})
+
+    def step(self, sums: CellSums) -> None:
+        """Accept the point and move on, or halve the step that led to it."""
+        loglik = sums.totals["loglik"]
+        if self.before and loglik < self.before[0] - 1e-9 * abs(self.before[0]):
+            self.halvings += 1
+            if self.halvings > HALVINGS:
+                raise RuntimeError(f"no step raises the likelihood of {self.name}")
+            old = self.before[1]
+            self.beta = {c: (old[c] + b) / 2 for c, b in self.beta.items()}
+            return
+        self.halvings, self.before, self.loglik = 0, (loglik, self.beta), loglik
+        found = solve_normal(sums, self.design, self.kept or None)
+        self.kept, self.vcov = found.kept, found.vcov
+        self.beta = {**self.beta, **{c: self.beta[c] + float(d) for c, d in zip(found.kept, found.solution)}}
+        self.done = found.decrement < DECREMENT
+
+    def result(self, share: float) -> DiscreteFit:
+        n, k = self.n, len(self.kept)
+        null = 0.0 if share in (0, 1) else n * (share * math.log(share) + (1 - share) * math.log(1 - share))
+        summary = {
+            "log_likelihood": self.loglik, "deviance": -2 * self.loglik, "null_deviance": -2 * null,
+            "aic": -2 * self.loglik + 2 * k,
+        }
+        beta = np.array([self.beta[c] for c in self.kept])
+        fit = Fit(self.name, self.design.names, self.kept, beta, self.vcov, n, n - k, False, summary, self.design)
+        return DiscreteFit(fit, self.link)
+
+
+def binary_family(
+    df: DataFrame,
+    y: str,
+    models: Mapping[str, Sequence],
+    link: str,
+    masks: Mapping[str, Column] | None = None,
+    max_iter: int = 100,
+) -> dict[str, DiscreteFit]:
+    """Logit or probit fits of a 0/1 (or boolean) column, all models in the same jobs.
+
+    Each model deletes rows by its own terms, and by its mask. Cells are
+    written once (an eager job); a step is one job for all models that have
+    not converged. A model that has not after ``max_iter`` steps raises.
+    Aliased columns are left out, earlier ones stay.
     """
-    terms = as_terms(df, terms)
-    rows = df if staged else model_rows(df, terms, [y])
-    design, n = resolve(rows, terms)
-    if n == 0:
-        raise ValueError("no complete rows")
-    keys = design.raw_keys
-    mapping = design.mapping(keys)
-    sums = product_sums(rows, keys, design.numbers).astype(np.longdouble)
-    kept = [design.names[i] for i in independent(mapping.T @ sums @ mapping)]
-    features = [(name, c) for name, c in design.model_columns() if name in kept and name != INTERCEPT]
-
-    wide = rows.select(
-        *used_columns(terms),
-        F.col(y).cast("double").alias("__y"), *[c.alias(f"__f{i}") for i, (_, c) in enumerate(features)]
-    )
-    names = [f"__f{i}" for i in range(len(features))]
-    assembled = VectorAssembler(inputCols=names, outputCol="__v").transform(wide)
-    model = GeneralizedLinearRegression(
-        family="binomial",
-        link=link,
-        labelCol="__y",
-        featuresCol="__v",
-        predictionCol=MU,
-        linkPredictionCol=ETA,
-        tol=1e-10,
-        maxIter=max_iter,
-    ).fit(assembled.select("__y", "__v"))
-    if features and model.summary.numIterations >= max_iter:
-        raise RuntimeError(f"the {link} fit of {y} has not converged after {max_iter} steps")
-
-    scored = model.transform(assembled)
-    mu, eta = F.col(MU), F.col(ETA)
-    weight = mu * (1 - mu) if link == "logit" else F.pow(density(eta), 2) / (mu * (1 - mu))
-    fit_names = [INTERCEPT, *[name for name, _ in features]]
-    chosen = mapping[:, [design.names.index(c) for c in fit_names]]
-    information = chosen.T @ product_sums(scored, keys, design.numbers, F.coalesce(weight, F.lit(0.0))) @ chosen
-    beta = np.array([model.intercept, *model.coefficients.toArray()])
-    stats = scored.agg(
-        F.sum(F.when(F.col("__y") == 1, F.ln(mu)).otherwise(F.ln(1 - mu))).alias("loglik"),
-        F.avg("__y").alias("mean"),
-    ).first()
-    mean, loglik = stats["mean"], stats["loglik"]
-    null = 0.0 if mean in (0, 1) else n * (mean * math.log(mean) + (1 - mean) * math.log(1 - mean))
-    fit = Fit(
-        response=y,
-        names=design.names,
-        kept=fit_names,
-        beta=beta,
-        vcov=inverse(information).astype(float),
-        n=n,
-        df_residual=n - len(beta),
-        student=False,
-        summary={
-            "log_likelihood": loglik,
-            "deviance": -2 * loglik,
-            "null_deviance": -2 * null,
-            "aic": -2 * loglik + 2 * len(beta),
-        },
-        design=design,
-    )
-    return DiscreteFit(fit, model, features)
+    terms = {name: as_terms(df, t) for name, t in models.items()}
+    used = list(dict.fromkeys(c for t in terms.values() for c in used_columns(t)))
+    inside = {
+        f"__in{i}": F.coalesce(complete_rows(df, t, [y]) & (masks or {}).get(name, F.lit(True)), F.lit(False))
+        for i, (name, t) in enumerate(terms.items())
+    }
+    rows = df.select(*used, F.col(y).cast("double").alias("__y"), *[c.alias(n) for n, c in inside.items()])
+    rows = rows.filter(F.exists(F.array(*inside), lambda v: v))
+    cells = rows.groupBy(*used, *inside).agg(F.count("*").cast("double").alias("__n"), F.sum("__y").alias("__hits"))
+    cells = stage_derived(cells)
+    wanted = [Wanted(t, (), F.col(m), F.col("__n"), totals={"hits": F.col("__hits")}) for t, m in zip(terms.values(), inside)]
+    designs = resolve_all(cells, wanted)
+    shares = [w.found["hits"] / n if n else 0.0 for w, (_, n) in zip(wanted, designs)]
+    fits = []
+    for i, (name, m, (design, n)) in enumerate(zip(terms, inside, designs)):
+        label = y if len(terms) == 1 else f"{y} ({name})"
+        fits.append(_Newton(i, label, design, n, F.col(m), shares[i], link))
+    for _ in range(max_iter):
+        open_fits = [f for f in fits if not f.done]
+        if not open_fits:
+            break
+        frame = cells
+        for f in open_fits:
+            frame = f.attach(frame)
+        for f, sums in zip(open_fits, sum_products(frame, [f.spec() for f in open_fits])):
+            f.step(sums)
+    late = [f.name for f in fits if not f.done]
+    if late:
+        raise RuntimeError(f"the {link} fit of {', '.join(late)} has not converged after {max_iter} steps")
+    out = {name: f.result(share) for name, f, share in zip(terms, fits, shares)}
+    for found in out.values():
+        found.fit.response = y
+    return out
 
 
 def logit(df: DataFrame, y: str, terms: Sequence, **options) -> DiscreteFit:
-    return binary_fit(df, y, terms, "logit", **options)
+    return binary_family(df, y, {y: terms}, "logit", **options)[y]
 
 
 def probit(df: DataFrame, y: str, terms: Sequence, **options) -> DiscreteFit:
-    return binary_fit(df, y, terms, "probit", **options)
+    return binary_family(df, y, {y: terms}, "probit", **options)[y]
 
 
-def mills_ratio(scored: DataFrame, name: str = "imr") -> DataFrame:
+def mills_ratio(scored: DataFrame, name: str = "imr", eta: str = ETA, mu: str = MU) -> DataFrame:
     """Inverse Mills ratio of scored rows."""
-    return scored.withColumn(name, density(ETA) / F.col(MU))
+    return scored.withColumn(name, density(eta) / F.col(mu))
 
 
 def probit_imr(df: DataFrame, selected: str, terms: Sequence) -> tuple[DataFrame, DiscreteFit]:

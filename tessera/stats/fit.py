@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import p_normal, p_student
@@ -60,6 +60,6 @@ class Fit:
         row = tuple(None if v is None else float(v) for v in values.values())
         return spark.createDataFrame([row], schema)
 
-    def predict(self) -> Column:
-        """Linear predictor as a column expression."""
-        return self.design.linear_predictor(self.coefficients)
+    def predict(self, rows: DataFrame, out: str) -> DataFrame:
+        """Add the linear predictor; NULL for an unknown input or an unseen level."""
+        return self.design.with_value(rows, self.coefficients, out)

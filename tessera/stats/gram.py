@@ -10,6 +10,7 @@ design columns, whatever the number of rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -33,53 +34,130 @@ def _parsed(key: tuple) -> tuple[dict[str, str] | None, tuple[str, ...]]:
     return levels, tuple(sorted(numbers))
 
 
-def product_sums(
-    rows: DataFrame, keys: Sequence[tuple], numbers: Mapping[str, Column], weight: Column | None = None
-) -> np.ndarray:
-    """Cross-product matrix of raw design columns over all rows, in one job.
+@dataclass
+class SumSpec:
+    """What one model asks of a pass over the rows.
+
+    ``numbers`` gives the expression of every numeric column that a key names.
+    ``weight`` multiplies each row's products; rows where it is NULL take no
+    part. ``totals`` are further sums over the same rows.
+    """
+
+    keys: Sequence[tuple]
+    numbers: Mapping[str, Column]
+    weight: Column | None = None
+    totals: Mapping[str, Column] = field(default_factory=dict)
+
+
+@dataclass
+class CellSums:
+    """Entries of a cross-product matrix that some cell of the factors fills."""
+
+    size: int
+    entries: dict[tuple[int, int], float]
+    totals: dict[str, float]
+
+    def block(self, rows: Sequence[int], columns: Sequence[int]) -> np.ndarray:
+        row_at, column_at = ({k: n for n, k in enumerate(keys)} for keys in (rows, columns))
+        out = np.zeros((len(rows), len(columns)))
+        for (i, j), value in self.entries.items():
+            for a, b in {(i, j), (j, i)}:
+                if a in row_at and b in column_at:
+                    out[row_at[a], column_at[b]] = value
+        return out
+
+    def dense(self) -> np.ndarray:
+        every = range(self.size)
+        return self.block(every, every)
+
+
+class _Layout:
+    """Where the sums of one spec stand: kinds of keys by the factors they name."""
+
+    def __init__(self, number: int, spec: SumSpec):
+        parsed = [_parsed(k) for k in spec.keys]
+        self.number, self.spec = number, spec
+        self.columns = list(dict.fromkeys(c for levels, _ in parsed for c in levels or {}))
+        self.powers = list(dict.fromkeys(n for _, n in parsed))
+        self.pairs = [(i, j) for i in range(len(self.powers)) for j in range(i, len(self.powers))]
+        self.kinds: dict[tuple, dict[tuple, int]] = {}
+        for at, (levels, numbers) in enumerate(parsed):
+            if levels is not None:
+                names = tuple(sorted(levels))
+                self.kinds.setdefault((names, self.powers.index(numbers)), {})[tuple(levels[c] for c in names)] = at
+        kinds = list(self.kinds)
+        self.met: dict[frozenset, list[tuple]] = {}
+        for i, first in enumerate(kinds):
+            for second in kinds[i:]:
+                union = frozenset(first[0]) | frozenset(second[0])
+                pair = self.pairs.index(tuple(sorted((first[1], second[1]))))
+                self.met.setdefault(union, []).append((first, second, pair))
+
+    def values(self) -> list[Column]:
+        m, spec = self.number, self.spec
+        of_power = [reduce(lambda a, b: a * b, [spec.numbers[c].cast("double") for c in p], F.lit(1.0)) for p in self.powers]
+        weight = F.lit(1.0) if spec.weight is None else spec.weight.cast("double")
+        return [
+            weight.alias(f"w{m}"), *[v.alias(f"x{m}_{i}") for i, v in enumerate(of_power)],
+            *[F.when(F.isnotnull(weight), t.cast("double")).alias(f"t{m}_{i}") for i, t in enumerate(spec.totals.values())],
+        ]
+
+    def sums(self) -> list[Column]:
+        m = self.number
+        products = [F.sum(F.col(f"w{m}") * F.col(f"x{m}_{i}") * F.col(f"x{m}_{j}")) for i, j in self.pairs]
+        return [
+            *[c.alias(f"s{m}_{n}") for n, c in enumerate(products)],
+            *[F.sum(f"t{m}_{i}").alias(f"t{m}_{i}") for i in range(len(self.spec.totals))],
+        ]
+
+    def names(self) -> list[str]:
+        m = self.number
+        return [*[f"s{m}_{n}" for n in range(len(self.pairs))], *[f"t{m}_{i}" for i in range(len(self.spec.totals))]]
+
+    def take(self, row, levels: dict[str, str], found: CellSums) -> None:
+        union = frozenset(levels)
+        for first, second, pair in self.met.get(union, []):
+            value = row[f"s{self.number}_{pair}"]
+            a = self.kinds[first].get(tuple(levels[c] for c in first[0]))
+            b = self.kinds[second].get(tuple(levels[c] for c in second[0]))
+            if value is not None and a is not None and b is not None:
+                found.entries[a, b] = value
+        if not union:
+            found.totals.update({n: row[f"t{self.number}_{i}"] or 0.0 for i, n in enumerate(self.spec.totals)})
+
+
+def sum_products(rows: DataFrame, specs: Sequence[SumSpec]) -> list[CellSums]:
+    """Cross products of the raw design columns of several models, in one job.
 
-    ``numbers`` gives the expression of every numeric column that a key names;
-    factor columns are compared as text. ``weight`` multiplies each row's
-    products.
+    Rows are summed per cell of all factor columns, then cells per set of
+    factors that a pair of keys names. Factor columns are compared as text.
     """
-    parsed = [_parsed(k) for k in keys]
-    columns = list(dict.fromkeys(c for levels, _ in parsed for c in levels or {}))
-    powers = list(dict.fromkeys(n for _, n in parsed))
-    values = [reduce(lambda a, b: a * b, [numbers[c].cast("double") for c in p], F.lit(1.0)) for p in powers]
-    pairs = [(i, j) for i in range(len(powers)) for j in range(i, len(powers))]
-    place = {pair: n for n, pair in enumerate(pairs)}
+    layouts = [_Layout(m, s) for m, s in enumerate(specs)]
+    columns = list(dict.fromkeys(c for layout in layouts for c in layout.columns))
+    groups = [f"g{i}" for i in range(len(columns))]
     wide = rows.select(
-        *[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(columns)],
-        *[v.alias(f"x{i}") for i, v in enumerate(values)],
-        (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"),
+        *[F.col(c).cast("string").alias(g) for c, g in zip(columns, groups)], *[v for layout in layouts for v in layout.values()]
     )
-    groups = [f"g{i}" for i in range(len(columns))]
-    sums = [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{n}") for n, (i, j) in enumerate(pairs)]
-    cells = wide.groupBy(*groups).agg(*sums)
-    named = {frozenset(levels) for levels, _ in parsed if levels is not None}
-    unions = list(dict.fromkeys(a | b for a in named for b in named))
-    found: dict[tuple, np.ndarray] = {}
-    again = [F.sum(f"s{n}").alias(f"s{n}") for n in range(len(pairs))]
+    cells = wide.groupBy(*groups).agg(*[c for layout in layouts for c in layout.sums()])
     if columns:
-        sets = [[f"g{i}" for i, c in enumerate(columns) if c in u] for u in unions]
+        unions = dict.fromkeys([frozenset(), *(u for layout in layouts for u in layout.met)])
+        sets = [[g for c, g in zip(columns, groups) if c in u] for u in unions]
+        again = [F.sum(n).alias(n) for layout in layouts for n in layout.names()]
         cells = cells.groupingSets(sets, *groups).agg(F.grouping_id().alias("id"), *again)
+    found = [CellSums(len(layout.spec.keys), {}, {}) for layout in layouts]
     for row in cells.collect():
         out = int(row["id"]) if columns else 0
-        inside = [not out >> (len(columns) - 1 - i) & 1 for i in range(len(columns))]
-        at = frozenset((c, row[f"g{i}"]) for i, c in enumerate(columns) if inside[i])
-        found[at] = np.array([row[f"s{n}"] or 0.0 for n in range(len(pairs))])
-    matrix = np.zeros((len(keys), len(keys)))
-    at_power = [powers.index(n) for _, n in parsed]
-    for a, (levels_a, _) in enumerate(parsed):
-        for b in range(a, len(keys)):
-            levels_b = parsed[b][0]
-            if levels_a is None or levels_b is None or any(levels_b.get(c, v) != v for c, v in levels_a.items()):
-                continue
-            sums_here = found.get(frozenset({**levels_a, **levels_b}.items()))
-            if sums_here is not None:
-                pair = place[tuple(sorted((at_power[a], at_power[b])))]
-                matrix[a, b] = matrix[b, a] = sums_here[pair]
-    return matrix
+        levels = {c: row[g] for i, (c, g) in enumerate(zip(columns, groups)) if not out >> (len(columns) - 1 - i) & 1}
+        for layout, sums in zip(layouts, found):
+            layout.take(row, levels, sums)
+    return found
+
+
+def product_sums(
+    rows: DataFrame, keys: Sequence[tuple], numbers: Mapping[str, Column], weight: Column | None = None
+) -> np.ndarray:
+    """Cross-product matrix of one model's raw design columns over all rows, in one job."""
+    return sum_products(rows, [SumSpec(keys, numbers, weight)])[0].dense()
 
 
 def independent(matrix: np.ndarray, tolerance: float = ALIAS_TOLERANCE) -> list[int]:
@@ -124,3 +202,89 @@ def inverse(matrix: np.ndarray) -> np.ndarray:
         lower[j + 1 :, j] = (scaled[j + 1 :, j] - lower[j + 1 :, :j] @ lower[j, :j]) / lower[j, j]
     half = forward(lower, np.eye(k, dtype=np.longdouble))
     return (half.T @ half) / np.outer(scale, scale)
+
+
+#: A factor with more levels than this is eliminated before the system is solved.
+ELIMINATE_FROM = 200
+
+
+@dataclass
+class Solution:
+    """Solution of normal equations over the columns in ``kept``, its covariance, and the squared step length."""
+
+    kept: list[str]
+    solution: np.ndarray
+    vcov: np.ndarray
+    decrement: float
+
+
+def solve_normal(sums: CellSums, design, kept: Sequence[str] | None = None) -> Solution:
+    """Solve the normal equations of a design whose last raw key is the right side.
+
+    ``kept`` names the columns to use; without it, columns that earlier ones
+    explain are left out. The levels of a large factor are eliminated one by
+    one, which leaves a system in the other columns only.
+    """
+    found = _eliminated(sums, design)
+    if found is None:
+        keys = range(sums.size - 1)
+        mapping = design.mapping(design.raw_keys)
+        matrix = sums.block(keys, keys).astype(np.longdouble)
+        right = sums.block(keys, [sums.size - 1]).astype(np.longdouble)[:, 0]
+        whole, right = mapping.T @ matrix @ mapping, mapping.T @ right
+        names = design.names
+        at = [names.index(c) for c in kept] if kept else independent(whole)
+        vcov = inverse(whole[np.ix_(at, at)])
+        found = Solution([names[i] for i in at], vcov @ right[at], vcov, float(right[at] @ vcov @ right[at]))
+    return Solution(found.kept, found.solution.astype(float), found.vcov.astype(float), found.decrement)
+
+
+def _eliminated(sums: CellSums, design) -> Solution | None:
+    """Solution by way of the largest factor's levels; None where that does not apply.
+
+    With the levels' own sums on a diagonal, each level's value follows from
+    the other columns alone. The intercept is part of the levels until the
+    end, when both are turned into the factor's contrasts.
+    """
+    large = design.separate_factor(ELIMINATE_FROM)
+    if large is None:
+        return None
+    block, column = large
+    raw, names = design.raw_keys, design.names
+    own_at = [raw.index((column, v)) for v in design.levels[column]]
+    other_at = [i for i in range(len(raw)) if i not in set(own_at)]
+    inside = set(block.names) | {names[0]}
+    rest = [i for i, c in enumerate(names) if c not in inside]
+    mapping = design.mapping(raw)[np.ix_(other_at, rest)].astype(float)
+    size = np.array([sums.entries.get((i, i), 0.0) for i in own_at])
+    if not (size > 0).all():
+        return None
+    across = sums.block(own_at, other_at) @ mapping
+    inner = mapping.T @ sums.block(other_at, other_at) @ mapping
+    right_own = sums.block(own_at, [sums.size - 1])[:, 0]
+    right = mapping.T @ sums.block(other_at, [sums.size - 1])[:, 0]
+    scaled = across / size[:, None]
+    left = inner - across.T @ scaled
+    if (np.diag(left) <= 1e-9 * np.diag(inner)).any() or len(independent(left)) < len(rest):
+        return None  # some column is a sum of levels: the general way decides which one goes
+    spread = inverse(left).astype(float) if rest else np.zeros((0, 0))
+    slopes = spread @ (right - scaled.T @ right_own)
+    values = (right_own - across @ slopes) / size
+    cross = -scaled @ spread
+    levels = np.diag(1 / size) - cross @ scaled.T
+    # contrasts: levels against one reference, the intercept at another
+    shown, against, centre = design.level_contrasts(block.term, len(size))
+    to_ref, to_centre = levels @ against, levels @ centre
+    own = levels[np.ix_(shown, shown)] - to_ref[shown][:, None] - to_ref[shown][None, :] + against @ to_ref
+    own_centre = to_centre[shown] - centre @ to_ref
+    own_rest = cross[shown] - (against @ cross)[None, :]
+    order = [names[0], *block.names, *[names[i] for i in rest]]
+    solution = np.concatenate([[centre @ values], values[shown] - against @ values, slopes])
+    vcov = np.block([
+        [np.array([[centre @ to_centre]]), own_centre[None, :], (centre @ cross)[None, :]],
+        [own_centre[:, None], own, own_rest],
+        [(centre @ cross)[:, None], own_rest.T, spread],
+    ])
+    place = [order.index(c) for c in names]
+    decrement = float(values @ right_own + slopes @ right)
+    return Solution(list(names), solution[place], vcov[np.ix_(place, place)], decrement)

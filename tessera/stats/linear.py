@@ -17,7 +17,7 @@ from tessera.functions.pvalues import p_fisher
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.fit import Fit
-from tessera.stats.gram import independent, inverse, product_sums
+from tessera.stats.gram import SumSpec, independent, inverse, product_sums, sum_products
 
 
 @dataclass
@@ -39,13 +39,16 @@ class Moments:
         return mapping.T @ self.matrix.astype(np.longdouble) @ mapping
 
 
+def moment_spec(design: Design, y: str, numbers: Mapping[str, Column] | None = None, weight: Column | None = None) -> SumSpec:
+    """What a pass must sum for a model and its centred response."""
+    response = F.col(y).cast("double") - F.lit(design.shifts[y])
+    return SumSpec([*design.raw_keys, ("__response",)], {**(numbers or design.numbers), "__response": response}, weight)
+
+
 def moments(rows: DataFrame, design: Design, y: str, n: int) -> Moments:
     """The pass over the rows."""
-    keys = design.raw_keys
-    shift = design.shifts[y]
-    response = F.col(y).cast("double") - F.lit(shift)
-    sums = product_sums(rows, [*keys, ("__response",)], {**design.numbers, "__response": response})
-    return Moments(keys, sums, shift, n)
+    sums = sum_products(rows, [moment_spec(design, y)])[0].dense()
+    return Moments(design.raw_keys, sums, design.shifts[y], n)
 
 
 def solve(names: list[str], products: np.ndarray, n: int, y: str, design: Design | None) -> Fit:
@@ -154,8 +157,8 @@ def nested_test(spark: SparkSession, small: Fit, large: Fit) -> DataFrame:
 
 def robust(df: DataFrame, fit: Fit) -> Fit:
     """The same coefficients with an HC1 covariance, from one more pass."""
-    rows = df.filter(complete_rows(df, fit.design.terms, [fit.response]))
-    residual = F.col(fit.response).cast("double") - fit.predict()
+    rows = fit.predict(model_rows(df, fit.design.terms, [fit.response]), "__fitted")
+    residual = F.col(fit.response).cast("double") - F.col("__fitted")
     keys = fit.design.raw_keys
     mapping = fit.design.mapping(keys)[:, [fit.names.index(c) for c in fit.kept]]
     sums = product_sums(rows, keys, fit.design.numbers, residual * residual)
@@ -279,7 +282,7 @@ def impute_by_model(
     where = F.coalesce(where, F.lit(False))
     fit = ols(df.filter(where if fit_rows is None else fit_rows), target, terms)
     gap = where & F.col(target).isNull()
-    df = df.withColumn(f"{target}_imputed", F.when(gap, fit.predict()))
+    df = fit.predict(df, "__fitted").withColumn(f"{target}_imputed", F.when(gap, F.col("__fitted"))).drop("__fitted")
     final = F.coalesce(F.col(target).cast("double"), F.col(f"{target}_imputed"))
     df = df.withColumn(f"{target}_final", final)
     if squared:
