@@ -164,22 +164,45 @@ def level_counts(df: DataFrame, column: str, conditions: Mapping[str, Column]) -
 def contingency_table(
     df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None
 ) -> DataFrame:
-    """Counts for every combination of known levels, zero cells included.
+    """Counts for every combination of known levels, zero cells included (eager jobs).
 
-    Observed cells are counted once (an eager job); the levels of the grid are
-    the ones observed, and ``levels`` may add further ones per column. The
-    grid grows with the product of factor levels, not with the rows: one row
-    that holds each factor's level list is exploded factor by factor.
+    Observed cells are counted once; the levels of the grid are the ones
+    observed, and ``levels`` may add further ones per column. Cells of the grid
+    are numbers from 0 to the product of the level counts, spread over
+    partitions; each number is read as one digit per column, which a table of
+    numbered levels turns into a value. Only the level counts reach the driver.
     """
     types = dict(df.dtypes)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
     observed = stage_derived(df.filter(known).groupBy(*columns).agg(F.count("*").alias("freq")))
-    more = {c: F.array(*[F.lit(v).cast(types[c]) for v in (levels or {}).get(c, [])]) for c in columns}
-    lists = [F.array_union(F.collect_set(c), more[c].cast(f"array<{types[c]}>")).alias(c) for c in columns]
-    grid = observed.agg(*lists)
+    numbered = {c: stage_derived(_numbered(observed.select(c), c, types[c], (levels or {}).get(c, []))) for c in columns}
+    sizes = {c: t.count() for c, t in numbered.items()}
+    grid = df.sparkSession.range(reduce(lambda a, b: a * b, sizes.values(), 1)).withColumnRenamed("id", "__cell")
+    step = 1
     for c in columns:
-        grid = grid.withColumn(c, F.explode(c))
-    return grid.join(observed, list(columns), "left").na.fill(0, ["freq"])
+        digit = F.floor(F.col("__cell") / F.lit(step)) % sizes[c] if step > 1 else F.col("__cell") % sizes[c]
+        grid = grid.withColumn(f"__{c}", digit.cast("long")).join(numbered[c], f"__{c}").drop(f"__{c}")
+        step *= sizes[c]
+    return grid.select(*columns).join(observed, list(columns), "left").na.fill(0, ["freq"])
+
+
+def _numbered(seen: DataFrame, column: str, kind: str, more: Sequence) -> DataFrame:
+    """Distinct levels numbered from 0, in their own order; numbers count up along sorted partitions."""
+    every = seen.distinct()
+    if more:
+        extra = F.explode(F.array(*[F.lit(v).cast(kind) for v in more])).alias(column)
+        every = every.unionByName(seen.sparkSession.range(1).select(extra)).distinct()
+    ordered = stage_derived(every.repartitionByRange(column).sortWithinPartitions(column).select(
+        column, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")
+    ))
+    parts = ordered.groupBy("__part").count().collect()  # one row per partition
+    before, start = {}, 0
+    for row in sorted(parts, key=lambda r: r["__part"]):
+        before[row["__part"]], start = start, start + row["count"]
+    if not before:
+        return ordered.select(column, F.lit(0).cast("long").alias(f"__{column}"))
+    offset = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])[F.col("__part")]
+    return ordered.select(column, (offset + F.col("__at")).alias(f"__{column}"))
 
 
 def unit_scale(df: DataFrame, factors: Mapping[str, tuple[str, float]]) -> DataFrame:

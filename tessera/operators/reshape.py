@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.semantics import as_col, int_text
 from tessera.functions.slots import flag_label
 from tessera.operators.groups import with_group_total
+from tessera.sources.tables import stage_derived
 
 
 def melt(
@@ -30,9 +31,28 @@ def melt_years(df: DataFrame, ids: Sequence[str], value: str, year: str = "year"
     return long.withColumn(year, F.regexp_extract(year, r"(\d{4})", 1).try_cast("int"))
 
 
-def spread(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence, value: Column) -> DataFrame:
-    """Long to wide over a known level list."""
-    return df.groupBy(*keys).pivot(column, list(levels)).agg(value)
+def spread(
+    df: DataFrame, keys: Sequence[str], column: str, value: Column, first: Sequence = (), only_first: bool = False
+) -> DataFrame:
+    """Long to wide, one column per level that occurs (eager: cells are counted and staged).
+
+    The rows are read once, into one cell per key and level; the levels come
+    from those cells. ``first`` puts levels in front, present or not; the
+    others follow in their own order. With ``only_first`` a level that
+    ``first`` lacks is refused by name instead. A NULL level is no column; a
+    level named like a key is refused.
+    """
+    cells = stage_derived(df.groupBy(*keys, column).agg(value.alias("__value")))
+    seen = cells.select(column).where(F.col(column).isNotNull()).distinct()
+    more = seen.where(~F.col(column).isin(list(first))) if first else seen
+    more = [r[0] for r in more.orderBy(column).collect()]
+    if more and only_first:
+        raise ValueError(f"levels of {column} outside the list: {more[:20]}")
+    levels = [*first, *more]
+    clash = {str(v) for v in levels} & set(keys)
+    if clash:
+        raise ValueError(f"levels of {column} named like a key: {sorted(clash)}")
+    return cells.groupBy(*keys).pivot(column, levels).agg(F.first("__value"))
 
 
 def impute_zero(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:

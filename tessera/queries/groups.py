@@ -338,7 +338,8 @@ def melt_measures(spark, folder):
 def spread_cells(spark, folder):
     """Counts spread to one column per level."""
     lines = table(spark, folder, "lineitem").select(F.year("l_shipdate").alias("year"), "l_returnflag")
-    return spread(lines, ["year"], "l_returnflag", RETURNS, F.count(F.lit(1))).na.fill(0, RETURNS)
+    wide = spread(lines, ["year"], "l_returnflag", F.count(F.lit(1)), first=["R"])
+    return wide.na.fill(0)
 
 
 @query(

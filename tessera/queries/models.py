@@ -25,6 +25,7 @@ from tessera.stats.linear import (
 from tessera.stats.report import coefficient_table as report
 from tessera.stats.report import marginal_grid as predictions
 from tessera.stats.selection import heckman as fit_heckman
+from tessera.stats.selection import heckman_family as fit_selection_family
 from tessera.stats.selection import iv_selection as fit_iv_selection
 from tessera.stats.tests import correlation, prop_test as test_shares, welch_test as test_means
 
@@ -519,17 +520,60 @@ def logit(spark, folder):
     )
 
 
-def _quantiles(key: str) -> str:
+def _one_by_one(update: str, steps: int) -> str:
+    """A logit fitted by Newton steps on one coefficient block after the other, over lists of cells."""
+    mu = "(1 / (1 + exp(-(a[x.p] + c[x.s] + b * x.m))))"
+    residual, weight = f"(x.k - x.n * {mu})", f"(x.n * {mu} * (1 - {mu}))"
+
+    def moved(own: str, test: str, times: str = "1") -> str:
+        up = f"list_sum([{residual} * {times} FOR x IN cells IF {test}])"
+        return f"{own} + {up} / list_sum([{weight} * {times} * {times} FOR x IN cells IF {test}])"
+
+    return f"""
+    fit(i, a, c, b) AS (
+        SELECT 0, list_transform(range(ps), lambda z: 0.0::DOUBLE), list_transform(range(ss), lambda z: 0.0::DOUBLE), 0.0::DOUBLE FROM {update}
+        UNION ALL
+        SELECT i + 1, CASE WHEN i % 3 = 0 THEN [{moved('a[l]', 'x.p = l')} FOR l IN range(1, ps + 1)] ELSE a END,
+               CASE WHEN i % 3 = 1 THEN [CASE WHEN l = 1 THEN 0.0 ELSE {moved('c[l]', 'x.s = l')} END FOR l IN range(1, ss + 1)] ELSE c END,
+               CASE WHEN i % 3 = 2 THEN {moved('b', 'true', 'x.m')} ELSE b END
+        FROM fit, {update} WHERE i < {steps})
+    """
+
+
+@query(
+    f"""
+    WITH RECURSIVE {_FACTS},
+    p AS (SELECT priority, row_number() OVER (ORDER BY priority) AS p FROM (SELECT DISTINCT priority FROM facts)),
+    s AS (SELECT segment, row_number() OVER (ORDER BY segment) AS s FROM (SELECT DISTINCT segment FROM facts)),
+    grouped AS (SELECT p, s, month - 6 AS m, count(*)::DOUBLE AS n, sum(selected)::DOUBLE AS k
+                FROM facts JOIN p USING (priority) JOIN s USING (segment) GROUP BY ALL),
+    one AS (SELECT list({{'p': p, 's': s, 'm': m, 'n': n, 'k': k}}) AS cells, (SELECT count(*) FROM p) AS ps,
+                   (SELECT count(*) FROM s) AS ss FROM grouped),
+    {_one_by_one('one', 360)},
+    last AS (SELECT a, c, b FROM fit WHERE i = 360)
+    SELECT '(Intercept)' AS term, ROUND(a[1] - 6 * b, 5) AS estimate FROM last
+    UNION ALL SELECT 'priority' || priority, ROUND(a[p] - a[1], 5) FROM last, p WHERE p > 1
+    UNION ALL SELECT 'segment' || segment, ROUND(c[s], 5) FROM last, s WHERE s > 1
+    UNION ALL SELECT 'month', ROUND(b, 5) FROM last
+    """
+)
+def logit_factors(spark, folder):
+    """Logit of a flag on two factors and a number."""
+    found = fit_logit(facts(spark, folder), "selected", [Cat("priority"), Cat("segment"), Num("month")])
+    return found.fit.tidy(spark).select("term", F.round("estimate", 5).alias("estimate"))
+
+
+def _quantiles(key: str, tag: str = "", rows: str = "facts") -> str:
     """Normal quantile of each cell's share, by bisection."""
     phi = f"0.5 * (1 + {_erf('((lo + hi) / 2 / sqrt(2.0))')})"
     return f"""
-    cells AS (SELECT {key}, avg(selected) AS p, count(*) AS n FROM facts GROUP BY 1),
-    bis AS (SELECT {key}, p, n, -6.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS i FROM cells
+    cells{tag} AS (SELECT {key}, avg(selected) AS p, count(*) AS n FROM {rows} GROUP BY 1),
+    bis{tag} AS (SELECT {key}, p, n, -6.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS i FROM cells{tag}
             UNION ALL
             SELECT {key}, p, n, CASE WHEN {phi} < p THEN (lo + hi) / 2 ELSE lo END,
-                   CASE WHEN {phi} < p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM bis WHERE i < 48),
-    eta AS (SELECT {key}, p, n, (lo + hi) / 2 AS eta,
-                   exp(-power((lo + hi) / 2, 2) / 2) / sqrt(2 * pi()) / p AS imr FROM bis WHERE i = 48)
+                   CASE WHEN {phi} < p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM bis{tag} WHERE i < 48),
+    eta{tag} AS (SELECT {key}, p, n, (lo + hi) / 2 AS eta,
+                   exp(-power((lo + hi) / 2, 2) / 2) / sqrt(2 * pi()) / p AS imr FROM bis{tag} WHERE i = 48)
     """
 
 
@@ -578,6 +622,50 @@ def heckman(spark, folder):
     )
 
 
+def _two_step(name: str, key: str, tag: str, rows: str) -> str:
+    return f"""
+    SELECT '{name}' AS model, n, ROUND(a, 2) AS intercept, ROUND(b, 2) AS b_lambda,
+           ROUND(sqrt((syy - b * b * sxx) / n + delta * b * b), 3) AS sigma
+    FROM (SELECT regr_slope(price, imr) AS b, regr_intercept(price, imr) AS a, count(*) AS n, avg(imr * (imr + eta)) AS delta,
+                 regr_syy(price, imr) AS syy, regr_sxx(price, imr) AS sxx
+          FROM {rows} JOIN eta{tag} USING ({key}) WHERE selected = 1)
+    """
+
+
+@query(
+    f"""
+    WITH RECURSIVE {_FACTS}, solvent AS (SELECT * FROM facts WHERE balance > 0), late AS (SELECT * FROM facts WHERE month > 3 OR selected = 0),
+    {_quantiles('nation')}, {_quantiles('nation', '_s', 'solvent')}, {_quantiles('priority', '_l', 'late')}
+    {_two_step('nation', 'nation', '', 'facts')} UNION ALL {_two_step('solvent', 'nation', '_s', 'solvent')}
+    UNION ALL {_two_step('late', 'priority', '_l', 'late')}
+    """
+)
+def selection_family(spark, folder):
+    """Three selection models that lose different rows to missing values, fitted in the same passes."""
+    rows = facts(spark, folder).withColumns(
+        {
+            "solvent_nation": F.when(F.col("balance") > 0, F.col("nation")),
+            "late": F.when(F.col("month") > 3, F.lit(1.0)),
+        }
+    )
+    found = fit_selection_family(
+        rows,
+        "selected",
+        "price",
+        {
+            "nation": ([Cat("nation")], []),
+            "solvent": ([Cat("solvent_nation")], []),
+            "late": ([Cat("priority")], [Num("late")]),
+        },
+    )
+    data = [
+        (name, f.outcome.n, f.outcome.coefficients["(Intercept)"], f.outcome.coefficients["inv_mills_ratio"], f.sigma)
+        for name, f in found.items()
+    ]
+    out = spark.createDataFrame(data, "model string, n bigint, intercept double, b_lambda double, sigma double")
+    return out.withColumns({c: F.round(c, d) for c, d in {"intercept": 2, "b_lambda": 2, "sigma": 3}.items()})
+
+
 @query(
     f"""
     WITH RECURSIVE {_FACTS}, {_quantiles('nation')},

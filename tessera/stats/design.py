@@ -204,16 +204,15 @@ class Design:
         names = [c for c in used_columns(self.terms) if c not in self.levels]
         return {c: self.raw_column((c,)) for c in names}
 
-    def mapping(self, raw_keys: Sequence[tuple]) -> np.ndarray:
-        """Raw by model matrix."""
+    def mapping(self, raw_keys: Sequence[tuple], columns: Sequence[int] | None = None) -> np.ndarray:
+        """Raw by model matrix, of all model columns or of the ones numbered in ``columns``."""
         position = {k: i for i, k in enumerate(raw_keys)}
-        matrix = np.zeros((len(raw_keys), len(self.names)), dtype=np.longdouble)
-        j = 0
-        for b in self.blocks:
-            for w in b.weights:
-                for key, value in w.items():
-                    matrix[position[key], j] += value
-                j += 1
+        weights = [w for b in self.blocks for w in b.weights]
+        chosen = range(len(weights)) if columns is None else columns
+        matrix = np.zeros((len(raw_keys), len(chosen)), dtype=np.longdouble)
+        for j, at in enumerate(chosen):
+            for key, value in weights[at].items():
+                matrix[position[key], j] += value
         return matrix
 
     def separate_factor(self, least: int) -> tuple[Block, str] | None:

@@ -22,7 +22,7 @@ from tessera.functions.pvalues import erfc
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Wanted, as_terms, complete_rows, resolve_all, used_columns
 from tessera.stats.fit import Fit
-from tessera.stats.gram import CellSums, SumSpec, solve_normal, sum_products
+from tessera.stats.gram import CellSums, SumSpec, solve_normal, solving_keys, sum_products
 
 ETA, MU = "__eta", "__mu"
 RESIDUAL = "__residual"
@@ -89,7 +89,7 @@ class _Newton:
         weight = F.when(self.mask, n * slope * slope / (p * q))
         residual = (hits / n * q - (1 - hits / n) * p) / slope
         gain = F.when(hits > 0, hits * F.ln(p)).otherwise(0.0) + F.when(hits < n, (n - hits) * F.ln(q)).otherwise(0.0)
-        keys = [*self.design.raw_keys, (RESIDUAL,)]
+        keys = [*solving_keys(self.design), (RESIDUAL,)]
         return SumSpec(keys, {**self.design.numbers, RESIDUAL: residual}, weight, {"loglik": gain})
 
     def step(self, sums: CellSums) -> None:
@@ -159,7 +159,7 @@ def binary_family(
         frame = cells
         for f in open_fits:
             frame = f.attach(frame)
-        for f, sums in zip(open_fits, sum_products(frame, [f.spec() for f in open_fits])):
+        for f, sums in zip(open_fits, sum_products(frame, [f.spec() for f in open_fits], grouped=True)):
             f.step(sums)
     late = [f.name for f in fits if not f.done]
     if late:

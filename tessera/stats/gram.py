@@ -126,11 +126,12 @@ class _Layout:
             found.totals.update({n: row[f"t{self.number}_{i}"] or 0.0 for i, n in enumerate(self.spec.totals)})
 
 
-def sum_products(rows: DataFrame, specs: Sequence[SumSpec]) -> list[CellSums]:
+def sum_products(rows: DataFrame, specs: Sequence[SumSpec], grouped: bool = False) -> list[CellSums]:
     """Cross products of the raw design columns of several models, in one job.
 
     Rows are summed per cell of all factor columns, then cells per set of
-    factors that a pair of keys names. Factor columns are compared as text.
+    factors that a pair of keys names; ``grouped`` says that the rows are
+    cells already. Factor columns are compared as text.
     """
     layouts = [_Layout(m, s) for m, s in enumerate(specs)]
     columns = list(dict.fromkeys(c for layout in layouts for c in layout.columns))
@@ -138,12 +139,14 @@ def sum_products(rows: DataFrame, specs: Sequence[SumSpec]) -> list[CellSums]:
     wide = rows.select(
         *[F.col(c).cast("string").alias(g) for c, g in zip(columns, groups)], *[v for layout in layouts for v in layout.values()]
     )
-    cells = wide.groupBy(*groups).agg(*[c for layout in layouts for c in layout.sums()])
+    cells = wide
+    if not (grouped and columns):
+        cells = wide.groupBy(*groups).agg(*[c for layout in layouts for c in layout.sums()])
     if columns:
         unions = dict.fromkeys([frozenset(), *(u for layout in layouts for u in layout.met)])
         sets = [[g for c, g in zip(columns, groups) if c in u] for u in unions]
-        again = [F.sum(n).alias(n) for layout in layouts for n in layout.names()]
-        cells = cells.groupingSets(sets, *groups).agg(F.grouping_id().alias("id"), *again)
+        last = [c for layout in layouts for c in (layout.sums() if grouped else [F.sum(n).alias(n) for n in layout.names()])]
+        cells = cells.groupingSets(sets, *groups).agg(F.grouping_id().alias("id"), *last)
     found = [CellSums(len(layout.spec.keys), {}, {}) for layout in layouts]
     for row in cells.collect():
         out = int(row["id"]) if columns else 0
@@ -218,8 +221,15 @@ class Solution:
     decrement: float
 
 
+def solving_keys(design) -> list[tuple]:
+    """Raw keys of a design, with every level of a factor that is to be eliminated."""
+    large = design.separate_factor(ELIMINATE_FROM)
+    levels = [(large[1], v) for v in design.levels[large[1]]] if large else []
+    return list(dict.fromkeys([*design.raw_keys, *levels]))
+
+
 def solve_normal(sums: CellSums, design, kept: Sequence[str] | None = None) -> Solution:
-    """Solve the normal equations of a design whose last raw key is the right side.
+    """Solve the normal equations of a design from sums over ``solving_keys`` and, last, the right side.
 
     ``kept`` names the columns to use; without it, columns that earlier ones
     explain are left out. The levels of a large factor are eliminated one by
@@ -228,7 +238,7 @@ def solve_normal(sums: CellSums, design, kept: Sequence[str] | None = None) -> S
     found = _eliminated(sums, design)
     if found is None:
         keys = range(sums.size - 1)
-        mapping = design.mapping(design.raw_keys)
+        mapping = design.mapping(solving_keys(design))
         matrix = sums.block(keys, keys).astype(np.longdouble)
         right = sums.block(keys, [sums.size - 1]).astype(np.longdouble)[:, 0]
         whole, right = mapping.T @ matrix @ mapping, mapping.T @ right
@@ -250,12 +260,13 @@ def _eliminated(sums: CellSums, design) -> Solution | None:
     if large is None:
         return None
     block, column = large
-    raw, names = design.raw_keys, design.names
-    own_at = [raw.index((column, v)) for v in design.levels[column]]
-    other_at = [i for i in range(len(raw)) if i not in set(own_at)]
+    raw, names = solving_keys(design), design.names
+    at = {k: i for i, k in enumerate(raw)}
+    own_at = [at[column, v] for v in design.levels[column]]
+    other_at = sorted(set(range(len(raw))) - set(own_at))
     inside = set(block.names) | {names[0]}
     rest = [i for i, c in enumerate(names) if c not in inside]
-    mapping = design.mapping(raw)[np.ix_(other_at, rest)].astype(float)
+    mapping = design.mapping(raw, rest)[other_at].astype(float)
     size = np.array([sums.entries.get((i, i), 0.0) for i in own_at])
     if not (size > 0).all():
         return None
@@ -285,6 +296,7 @@ def _eliminated(sums: CellSums, design) -> Solution | None:
         [own_centre[:, None], own, own_rest],
         [(centre @ cross)[:, None], own_rest.T, spread],
     ])
-    place = [order.index(c) for c in names]
+    stands = {c: i for i, c in enumerate(order)}
+    place = [stands[c] for c in names]
     decrement = float(values @ right_own + slopes @ right)
     return Solution(list(names), solution[place], vcov[np.ix_(place, place)], decrement)

@@ -6,6 +6,8 @@ from tessera.queries import QUERIES
 from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries that show nothing at this size, since they report what is wrong with keys.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +17,7 @@ def connection():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_sql(spark, connection, name):
-    outcome = compare(spark, connection, name, FOLDER)
-    assert outcome in (None, "no rows"), outcome
+    assert compare(spark, connection, name, FOLDER) == ("no rows" if name in EMPTY else None)
 
 
 def test_slots_and_items_cover_the_data(connection):
