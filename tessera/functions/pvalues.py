@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.semantics import as_col, safe_ratio
 
 _ERF = "org.apache.commons.math3.special.Erf"
+_GAMMA = "org.apache.commons.math3.special.Gamma"
 _BETA = "org.apache.commons.math3.special.Beta"
 
 
@@ -43,6 +44,12 @@ def p_chi2_1(x) -> Column:
     return _static(_ERF, "erfc", F.sqrt(F.when(x >= 0, x) / 2))
 
 
+def p_chi2(x, df) -> Column:
+    """Upper chi-square tail."""
+    x, df = as_col(x).cast("double"), as_col(df).cast("double")
+    return _static(_GAMMA, "regularizedGammaQ", df / 2, x / 2)
+
+
 def p_student(t, df) -> Column:
     """Two-sided Student tail."""
     t, df = as_col(t).cast("double"), as_col(df).cast("double")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import safe_ratio
@@ -63,21 +63,84 @@ def decode(
     return df.join(side, F.col(code) == F.col(f"__{code}"), "left").drop(f"__{code}")
 
 
+class DecodeAudit:
+    """What a decoding join met, taken while the rows pass (see ``decode_audited``)."""
+
+    def __init__(self, before: Observation, after: Observation, dim: Observation):
+        self._parts = before, after, dim
+
+    def counts(self) -> dict[str, int]:
+        """``rows_in``, ``rows_out``, ``null_codes``, ``unknown_codes``, ``dim_rows`` and ``added_rows``.
+
+        Known once an action has read the decoded frame to its end; until then
+        the call waits. ``added_rows`` above 0 means that the dimension repeats
+        a key that the rows use.
+        """
+        found = {k: int(v or 0) for part in self._parts for k, v in part.get.items()}
+        return found | {"added_rows": found["rows_out"] - found["rows_in"]}
+
+
+def decode_audited(
+    df: DataFrame, dim: DataFrame, code: str, labels: Mapping[str, str], on: str = "code"
+) -> tuple[DataFrame, DecodeAudit]:
+    """``decode`` with an account of what it met, from the same job.
+
+    Metrics are observed on both sides of the join, so neither side is read
+    again to find unknown codes or repeated keys.
+    """
+    before, after, known = Observation(), Observation(), Observation()
+    side = dim.select(
+        F.col(on).alias(f"__{code}"), F.lit(True).alias(f"__{code}_known"), *[F.col(c).alias(out) for c, out in labels.items()]
+    ).observe(known, F.count(F.lit(1)).alias("dim_rows"))
+    rows = df.observe(before, F.count(F.lit(1)).alias("rows_in"))
+    joined = rows.join(side, F.col(code) == F.col(f"__{code}"), "left").observe(
+        after,
+        F.count(F.lit(1)).alias("rows_out"),
+        F.count_if(F.col(code).isNull()).alias("null_codes"),
+        F.count_if(F.col(code).isNotNull() & F.col(f"__{code}_known").isNull()).alias("unknown_codes"),
+    )
+    return joined.drop(f"__{code}", f"__{code}_known"), DecodeAudit(before, after, known)
+
+
+def broadcast_size(df: DataFrame) -> bool:
+    """Whether Spark would broadcast this frame: its planned size against the session's threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def decode_slots(
     df: DataFrame,
     dim: DataFrame,
     columns: Mapping[str, str],
     label: str = "label",
     on: str = "code",
+    key: Sequence[str] = (),
+    large: bool | None = None,
 ) -> DataFrame:
-    """Decode several code columns through one dimension.
+    """Decode several code columns through one dimension with unique codes.
 
     A dimension small enough for Spark to broadcast is shipped once and
-    reused by every join, so the rows are not shuffled.
+    reused by every join, so the rows are not shuffled. A larger one would be
+    shuffled once per slot. With ``key`` (columns that tell the rows apart) the
+    slots are then put under each other, meet it in one join, and return to
+    their row by position. The dimension is staged first (an eager job); its
+    stored size decides, unless ``large`` does.
     """
-    for code, out in columns.items():
-        df = decode(df, dim, code, {label: out}, on)
-    return df
+    side = stage_derived(dim.select(F.col(on).alias("__code"), F.col(label).alias("__label")))
+    if large is None:
+        large = bool(key) and not broadcast_size(side)
+    if not large:
+        for code, out in columns.items():
+            df = decode(df, side, code, {"__label": out}, "__code")
+        return df
+    if not key:
+        raise ValueError("a row key is needed to bring decoded slots back to their row")
+    slots = F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("code")) for i, c in enumerate(columns)])
+    long = df.select(*key, F.explode(F.filter(slots, lambda s: s["code"].isNotNull())).alias("s"))
+    met = long.select(*key, "s.at", "s.code").join(side, F.col("code") == F.col("__code"))
+    wide = met.groupBy(*key).agg(*[F.max(F.when(F.col("at") == i, F.col("__label"))).alias(out) for i, out in enumerate(columns.values())])
+    return null_safe_join(df, wide, key)
 
 
 def unknown_codes(df: DataFrame, dim: DataFrame, code: str, on: str = "code") -> DataFrame:
@@ -98,8 +161,9 @@ def fill_from_rows(
 ) -> DataFrame:
     """Fill ``out`` from a lookup built out of the same rows (written at once).
 
-    Per ``lookup_key`` the value of the last row in ``order`` wins; without an
-    order, the greatest value. Both are map-side combined, so a hot key costs
+    Per ``lookup_key`` the value of the last row in ``order`` wins (see
+    ``tables.source_order`` for the order of the files); without an order, the
+    greatest value. Both are map-side combined, so a hot key costs
     one row per partition in the shuffle, and the lookup is staged so that the
     rows themselves are only shuffled if it is too large to broadcast.
     """
@@ -156,6 +220,21 @@ def panel_slices(
     )
 
 
+def map_panel(
+    panel: DataFrame, crosswalk: DataFrame, column: str, source: str, target: str, weight: str, keys: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """A panel on another classification: values of ``source`` levels handed to ``target`` levels by weight.
+
+    A level may go to several targets and a target may take in several levels;
+    parts add up per target and ``keys``. Levels that the crosswalk lacks go.
+    Weights of a level that sum to 1 keep the panel's total.
+    """
+    side = stage_derived(crosswalk.select(F.col(source).alias("__from"), F.col(target).alias("__to"), F.col(weight).alias("__weight")))
+    met = panel.join(side, F.col(column) == F.col("__from"))
+    parts = [F.sum(F.col(v) * F.col("__weight")).alias(v) for v in values]
+    return met.groupBy(*keys, F.col("__to").alias(column)).agg(*parts)
+
+
 def share_of_total(
     df: DataFrame,
     part: str,

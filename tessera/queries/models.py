@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.queries.registry import query
 from tessera.sources.tables import table
+from tessera.stats.absorb import ols_absorbed as absorb
 from tessera.stats.design import Cat, Inter, Num
 from tessera.stats.discrete import logit as fit_logit
 from tessera.stats.discrete import probit_imr as score_probit
@@ -21,6 +22,7 @@ from tessera.stats.linear import (
     nested_test,
     ols,
     robust,
+    robust_iv,
 )
 from tessera.stats.report import coefficient_table as report
 from tessera.stats.report import marginal_grid as predictions
@@ -356,6 +358,73 @@ def iv_diagnostics(spark, folder):
     return found.diagnostics(spark).select("test", F.round("statistic", 4).alias("statistic"), "df1", "df2")
 
 
+@query(
+    f"""
+    WITH {_IV},
+    e AS (SELECT *, zy / zx AS b, zx / zz AS p, avg(z) OVER () AS mz FROM iv, mom),
+    s AS (SELECT any_value(n) AS n, any_value(b) AS b, any_value(p) AS p,
+                 sum(power((y - my - b * (x - mx)) * (z - mz), 2)) AS meat, sum(power((x - mx - p * (z - mz)) * (z - mz), 2)) AS first,
+                 any_value(zx) * (any_value(n) - 1) AS szx, any_value(zz) * (any_value(n) - 1) AS szz FROM e)
+    SELECT 'x' AS term, ROUND(b, 5) AS estimate, ROUND(sqrt(n / (n - 2) * meat) / abs(szx), 5) AS std_error,
+           ROUND(p * p / (n / (n - 2) * first / (szz * szz)), 4) AS first_stage_f FROM s
+    """
+)
+def iv_robust(spark, folder):
+    """Robust error of an instrumented slope, and the robust F of its first stage."""
+    rows = _instrument(spark, folder)
+    found = robust_iv(rows, iv(rows, "y", ["x"], [], ["z"]))
+    return (
+        found.fit.tidy(spark)
+        .filter("term = 'x'")
+        .select(
+            "term",
+            F.round("estimate", 5).alias("estimate"),
+            F.round("std_error", 5).alias("std_error"),
+            F.lit(round(found.first_stage_f["x"][0], 4)).alias("first_stage_f"),
+        )
+    )
+
+
+@query(
+    f"""
+    WITH RECURSIVE {_FACTS}, {_WITHIN},
+    g2 AS (SELECT nation, row_number() OVER (ORDER BY nation) AS i FROM g),
+    y2 AS (SELECT year, row_number() OVER (ORDER BY year) AS j FROM (SELECT DISTINCT year FROM facts)),
+    cell AS (SELECT i, j, count(*)::DOUBLE AS n, sum(price - 150) AS p, sum(month - 6) AS m, sum((price - 150) * (month - 6)) AS pm,
+                    sum(power(month - 6, 2)) AS mm, sum(power(price - 150, 2)) AS pp
+             FROM facts JOIN g2 USING (nation) JOIN y2 USING (year) GROUP BY ALL),
+    one AS (SELECT list({{'i': i, 'j': j, 'n': n, 'p': p, 'm': m}}) AS cells, max(i) AS gs, max(j) AS ys FROM cell),
+    -- effects of price (a by nation, c by year) and of month (d, e), one side after the other
+    fit(k, a, c, d, e) AS (
+        SELECT 0, list_transform(range(gs), lambda z: 0.0::DOUBLE), list_transform(range(ys), lambda z: 0.0::DOUBLE),
+               list_transform(range(gs), lambda z: 0.0::DOUBLE), list_transform(range(ys), lambda z: 0.0::DOUBLE) FROM one
+        UNION ALL
+        SELECT k + 1,
+               CASE WHEN k % 2 = 0 THEN [list_sum([x.p - x.n * c[x.j] FOR x IN cells IF x.i = l]) / list_sum([x.n FOR x IN cells IF x.i = l]) FOR l IN range(1, gs + 1)] ELSE a END,
+               CASE WHEN k % 2 = 1 THEN [list_sum([x.p - x.n * a[x.i] FOR x IN cells IF x.j = l]) / list_sum([x.n FOR x IN cells IF x.j = l]) FOR l IN range(1, ys + 1)] ELSE c END,
+               CASE WHEN k % 2 = 0 THEN [list_sum([x.m - x.n * e[x.j] FOR x IN cells IF x.i = l]) / list_sum([x.n FOR x IN cells IF x.i = l]) FOR l IN range(1, gs + 1)] ELSE d END,
+               CASE WHEN k % 2 = 1 THEN [list_sum([x.m - x.n * d[x.i] FOR x IN cells IF x.j = l]) / list_sum([x.n FOR x IN cells IF x.j = l]) FOR l IN range(1, ys + 1)] ELSE e END
+        FROM fit, one WHERE k < 60),
+    free AS (SELECT sum(pm - p * (d[i] + e[j]) - m * (a[i] + c[j]) + n * (a[i] + c[j]) * (d[i] + e[j])) AS xy,
+                    sum(mm - 2 * m * (d[i] + e[j]) + n * power(d[i] + e[j], 2)) AS xx,
+                    sum(pp - 2 * p * (a[i] + c[j]) + n * power(a[i] + c[j], 2)) AS yy,
+                    sum(n) AS n, count(DISTINCT i) + count(DISTINCT j) - 1 AS k
+             FROM cell, fit WHERE fit.k = 60)
+    SELECT 'nation' AS absorbed, ROUND(b, 5) AS estimate, ROUND(sqrt(s2 / sxx), 5) AS std_error, (n - k - 1)::DOUBLE AS df_residual FROM e
+    UNION ALL
+    SELECT 'nation, year', ROUND(xy / xx, 5), ROUND(sqrt((yy - xy * xy / xx) / (n - k - 1) / xx), 5), (n - k - 1)::DOUBLE FROM free
+    """
+)
+def ols_absorbed(spark, folder):
+    """Slope of month with nations, and with nations and years, absorbed instead of estimated."""
+    rows = facts(spark, folder)
+    data = []
+    for factors in (["nation"], ["nation", "year"]):
+        fit = absorb(rows, "price", ["month"], factors)
+        data.append((", ".join(factors), round(fit.coefficients["month"], 5), round(fit.errors["month"], 5), float(fit.df_residual)))
+    return spark.createDataFrame(data, "absorbed string, estimate double, std_error double, df_residual double")
+
+
 @query(
     f"""
     WITH {_FACTS},

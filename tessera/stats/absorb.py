@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import stage_derived
-from tessera.stats.design import Num
 from tessera.stats.fit import Fit
 from tessera.stats.gram import independent, inverse
 
@@ -155,5 +154,3 @@ def ols_absorbed(df: DataFrame, y: str, regressors: Sequence[str], absorb: Seque
         summary={k: None if v is None else float(v) for k, v in summary.items()},
     )
 
-
-__all__ = ["Num", "absorbed_rank", "components", "demeaned_cells", "ols_absorbed"]

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.pvalues import p_fisher
+from tessera.functions.pvalues import p_chi2, p_fisher
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.fit import Fit
@@ -168,6 +168,18 @@ def robust(df: DataFrame, fit: Fit) -> Fit:
     return Fit(**{**fit.__dict__, "vcov": scale * (bread @ meat @ bread)})
 
 
+@dataclass
+class InstrumentSpace:
+    """Cross products of [exogenous, endogenous, instruments, response] and where each stands."""
+
+    design: Design
+    products: np.ndarray
+    instruments: list[int]
+    excluded: list[int]
+    regressors: list[int]
+    first: dict[str, np.ndarray]
+
+
 @dataclass
 class InstrumentFit:
     """Two-stage least squares with its diagnostics."""
@@ -175,6 +187,7 @@ class InstrumentFit:
     fit: Fit
     first_stage_f: dict[str, tuple[float, float, float]]
     wu_hausman: tuple[float, float, float] | None
+    space: InstrumentSpace
 
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         rows = [(f"weak instruments ({k})", *v) for k, v in self.first_stage_f.items()]
@@ -263,7 +276,76 @@ def iv(
     large, rank_large = _rss(grown, [*x, *range(size, size + len(residuals))], y_at)
     q, d = rank_large - rank_small, n - rank_large
     hausman = (float(((small - large) / q) / (large / d)), float(q), float(d)) if q else None
-    return InstrumentFit(fit, first, hausman)
+    pi = {name: coefficients for name, (_, coefficients) in zip(endogenous, residuals)}
+    excluded = [i for i in z if i in inst_at]
+    return InstrumentFit(fit, first, hausman, InstrumentSpace(design, products, z, excluded, used, pi))
+
+
+@dataclass
+class RobustInstrumentFit:
+    """Two-stage least squares with errors that allow for unequal variances, and its tests."""
+
+    fit: Fit
+    first_stage_f: dict[str, tuple[float, float, float]]
+    sargan: tuple[float, float] | None
+    hansen: tuple[float, float] | None
+
+    def diagnostics(self, spark: SparkSession) -> DataFrame:
+        """Robust first-stage F and, with spare instruments, Sargan's and Hansen's chi-squared (df2 NULL)."""
+        rows = [(f"robust first stage ({k})", *v) for k, v in self.first_stage_f.items()]
+        rows += [(n, *v, None) for n, v in (("Sargan", self.sargan), ("Hansen J", self.hansen)) if v]
+        df = spark.createDataFrame(rows, "test string, statistic double, df1 double, df2 double")
+        chi = p_chi2("statistic", "df1")
+        return df.withColumn("p_value", F.when(F.col("df2").isNull(), chi).otherwise(p_fisher("statistic", "df1", "df2")))
+
+
+def robust_iv(df: DataFrame, found: InstrumentFit) -> RobustInstrumentFit:
+    """Heteroskedasticity-robust errors and tests of an instrument fit, from one more pass.
+
+    The sandwich stands in the space of the instruments: squared residuals
+    weight the instruments' cross products, and the first stage's
+    coefficients carry them to the regressors. The same pass takes the squared
+    first-stage residuals for robust F tests of the excluded instruments.
+    """
+    space, fit = found.space, found.fit
+    design, names, products = space.design, space.design.names, space.products
+    y_at, z, x = len(names), space.instruments, space.regressors
+    rows = fit.predict(model_rows(df, design.terms, [fit.response]), "__fitted")
+    weights = [F.pow(F.col(fit.response).cast("double") - F.col("__fitted"), 2)]
+    for i, (name, pi) in enumerate(space.first.items()):
+        rows = design.with_value(rows, {names[j]: float(c) for j, c in zip(z, pi)}, f"__first{i}")
+        weights.append(F.pow(F.col(name).cast("double") - F.col(f"__first{i}"), 2))
+    keys = design.raw_keys
+    mapping = design.mapping(keys, z)
+    sums = sum_products(rows, [SumSpec(keys, design.numbers, w) for w in weights])
+    meat, *first_meats = [(mapping.T @ s.dense() @ mapping).astype(float) for s in sums]
+
+    zz_inv = inverse(products[np.ix_(z, z)])
+    zx, zy = products[np.ix_(z, x)], products[z, y_at]
+    pull = (zz_inv @ zx).astype(float)
+    bread = inverse(zx.T @ zz_inv @ zx).astype(float)
+    n, dof = fit.n, fit.df_residual
+    vcov = n / dof * bread @ pull.T @ meat @ pull @ bread
+    robust_fit = Fit(**{**fit.__dict__, "vcov": vcov})
+
+    first, zz_bread = {}, zz_inv.astype(float)
+    tested = [z.index(i) for i in space.excluded]
+    for (name, pi), own in zip(space.first.items(), first_meats):
+        spread = n / (n - len(z)) * zz_bread @ own @ zz_bread
+        part = np.asarray(pi, dtype=float)[tested]
+        wald = float(part @ np.linalg.solve(spread[np.ix_(tested, tested)], part))
+        first[name] = (wald / len(tested), float(len(tested)), float(n - len(z)))
+
+    spare = len(z) - len(x)
+    if spare <= 0:
+        return RobustInstrumentFit(robust_fit, first, None, None)
+    left = zy - zx @ fit.beta
+    sargan = float(left @ zz_inv @ left / (fit.summary["rss"] / n))
+    # Hansen's statistic: the efficient estimate weights moments by their own spread
+    weight = inverse(meat)
+    beta = inverse(zx.T @ weight @ zx) @ (zx.T @ weight @ zy)
+    left = zy - zx @ beta
+    return RobustInstrumentFit(robust_fit, first, (sargan, float(spare)), (float(left @ weight @ left), float(spare)))
 
 
 def impute_by_model(
