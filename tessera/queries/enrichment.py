@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import quarter_label
@@ -11,8 +11,10 @@ from tessera.operators.groups import with_group_total
 from tessera.operators.joins import (
     attach_attributes,
     decode,
+    decode_audited,
     fill_from_rows,
     levels_present as present,
+    map_panel,
     null_safe_join,
     panel_join,
     panel_slices as slices,
@@ -23,7 +25,7 @@ from tessera.operators.joins import (
 )
 from tessera.plans.concentration import density_change, density_panel, relative_density
 from tessera.queries.registry import query
-from tessera.sources.tables import stage_derived, table
+from tessera.sources.tables import source_order, stage_derived, table
 
 
 def placed_orders(spark, folder) -> DataFrame:
@@ -155,22 +157,41 @@ def unknown_codes(spark, folder):
 
 @query(
     """
-    WITH lookup AS (SELECT p_brand, arg_max(p_size, p_partkey) AS stratum FROM part
-                    WHERE p_type NOT IN ('SMALL') GROUP BY 1)
+    SELECT count(*) AS rows_in, count(*) AS rows_out, count(*) FILTER (code IS NULL) AS null_codes,
+           count(*) FILTER (code IS NOT NULL AND n_nationkey IS NULL) AS unknown_codes,
+           (SELECT count(*) FROM nation WHERE n_regionkey <> 1) AS dim_rows, 0::BIGINT AS added_rows,
+           count(DISTINCT n_name) AS labels
+    FROM (SELECT CASE WHEN c_acctbal > 0 THEN c_nationkey END AS code FROM customer)
+         LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON code = n_nationkey
+    """
+)
+def decode_audit(spark, folder):
+    """Rows, NULL codes and unknown codes of a decoding join, from the job that decodes."""
+    customer = table(spark, folder, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("code"))
+    nation = table(spark, folder, "nation").filter("n_regionkey <> 1")
+    decoded, audit = decode_audited(customer, nation, "code", {"n_name": "country"}, "n_nationkey")
+    written = stage_derived(decoded)
+    counts = [F.lit(v).cast("long").alias(k) for k, v in audit.counts().items()]
+    return written.agg(F.count_distinct("country").alias("labels")).select(*counts, "labels")
+
+
+@query(
+    """
+    WITH placed AS (SELECT *, row_number() OVER () AS place FROM part),
+    lookup AS (SELECT p_brand, arg_max(p_size, place) AS stratum FROM placed WHERE p_size % 3 <> 0 GROUP BY 1)
     SELECT p_partkey, p_brand AS municipality, stratum FROM part LEFT JOIN lookup USING (p_brand)
     """
 )
 def self_lookup_fill(spark, folder):
-    """A lookup built from the rows themselves; the last row of a key wins."""
+    """A lookup built from the rows themselves; the last row of a key in the file wins."""
     part = table(spark, folder, "part").select(
         "p_partkey",
         F.col("p_brand").alias("municipality"),
-        F.when(F.col("p_type") != "SMALL", F.col("p_brand")).alias("known"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("known"),
         "p_size",
+        source_order().alias("source_order"),
     )
-    filled = fill_from_rows(
-        part, "municipality", "known", "p_size", "stratum", order=F.col("p_partkey")
-    )
+    filled = fill_from_rows(part, "municipality", "known", "p_size", "stratum", order=F.col("source_order"))
     return filled.select("p_partkey", "municipality", "stratum")
 
 
@@ -247,47 +268,47 @@ def panel_group_total(spark, folder):
     return joined.select("o_orderkey", "all_1998")
 
 
-def _rank_of(name: str):
-    """Place of a level among the few distinct levels of its (already distinct) column."""
-    return F.row_number().over(Window.orderBy(name))
+#: The older classification's words that make up each group of today, and the share of each that goes there.
+CROSSWALK = {
+    "STANDARD": [("AUTOMOBILE", 0.75), ("BUILDING", 0.25)],
+    "SMALL": [("BUILDING", 1.0)],
+    "MEDIUM": [("FURNITURE", 0.5), ("HOUSEHOLD", 0.5)],
+    "LARGE": [("HOUSEHOLD", 1.0)],
+    "ECONOMY": [("MACHINERY", 0.6), ("AUTOMOBILE", 0.4)],
+    "PROMO": [("MACHINERY", 1.0)],
+}
+_CROSSWALK = ", ".join(f"('{old}', '{new}', {w}::DOUBLE)" for old, parts in CROSSWALK.items() for new, w in parts)
 
 
 @query(
-    """
-    WITH census AS (SELECT s_nationkey AS place, p_type AS origin, sum(l_quantity) AS v
-                    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
-    total AS (SELECT origin, sum(v) AS t FROM census GROUP BY 1),
-    groups AS (SELECT DISTINCT c_mktsegment AS origin FROM customer),
-    mapped AS (SELECT g.origin, t.origin AS origin_1991
-               FROM (SELECT origin, row_number() OVER (ORDER BY origin) AS k FROM groups) g
-               JOIN (SELECT origin, row_number() OVER (ORDER BY origin) AS k FROM total) t USING (k))
+    f"""
+    WITH crosswalk(old, new, w) AS (VALUES {_CROSSWALK}),
+    census AS (SELECT s_nationkey AS place, new AS origin, sum(l_quantity * w) AS v
+               FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+               JOIN crosswalk ON upper(string_split(p_type, ' ')[1]) = old GROUP BY 1, 2),
+    total AS (SELECT origin, sum(v) AS t FROM census GROUP BY 1)
     SELECT c_custkey, ROUND(v, 2) AS census_value, ROUND(v / t, 6) AS census_relative
-    FROM customer LEFT JOIN mapped m ON m.origin = c_mktsegment
-         LEFT JOIN (SELECT * FROM census JOIN total USING (origin)) c
-         ON c_nationkey = c.place AND c.origin = m.origin_1991
+    FROM customer LEFT JOIN (SELECT * FROM census JOIN total USING (origin)) c
+         ON c_nationkey = c.place AND c.origin = c_mktsegment
     """
 )
 def second_panel(spark, folder):
-    """A second reference panel without sex or year, on its own, mapped origin key."""
+    """A second reference panel without sex or year, brought to today's groups by a weighted crosswalk."""
     supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("place"))
-    part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("origin"))
+    part = table(spark, folder, "part").select("p_partkey", F.upper(F.split("p_type", " ")[0]).alias("origin"))
     lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     placed = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    census = stage_derived(placed.groupBy("place", "origin").agg(F.sum("l_quantity").alias("v")))
-    customers = table(spark, folder, "customer")
-    names = customers.select(F.col("c_mktsegment").alias("country")).distinct().withColumn("k", _rank_of("country"))
-    older = census.select(F.col("origin").alias("country_1991")).distinct().withColumn("k", _rank_of("country_1991"))
-    mapped = stage_derived(names.join(older, "k").drop("k"))
+    older = placed.groupBy("place", "origin").agg(F.sum("l_quantity").alias("v"))
+    links = [(old, new, w) for old, parts in CROSSWALK.items() for new, w in parts]
+    crosswalk = spark.createDataFrame(links, "old string, new string, w double")
+    census = stage_derived(map_panel(older, crosswalk, "origin", "old", "new", "w", ["place"], ["v"]))
     totals = census.groupBy("origin").agg(F.sum("v").alias("v")).withColumn("place", F.lit("TOTAL"))
-    shares = share(census.unionByName(totals), "place", "TOTAL", "v", ["origin"])
-    customer = customers.select(
+    shares = share(census.unionByName(totals, allowMissingColumns=True), "place", "TOTAL", "v", ["origin"])
+    customer = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_nationkey").cast("string").alias("province"), F.col("c_mktsegment").alias("country")
-    ).join(mapped, "country", "left")
+    )
     joined = panel_join(
-        customer,
-        shares,
-        {"province": "place", "country_1991": "origin"},
-        {"v": "census_value", "v_relative": "census_relative"},
+        customer, shares, {"province": "place", "country": "origin"}, {"v": "census_value", "v_relative": "census_relative"}
     )
     return joined.select(
         "c_custkey",

@@ -28,7 +28,7 @@ from tessera.operators.joins import decode_slots
 from tessera.operators.reshape import padded, set_flags_long
 from tessera.queries.registry import query
 from tessera.queries.wide import EVENT_TYPES, SLOTS, WIDE_ORDERS, WIDE_USERS, wide_orders, wide_users
-from tessera.sources.tables import table
+from tessera.sources.tables import stage_derived, table
 
 HEAD = "CAST(l_orderkey % 7 + 1 AS INTEGER)"
 
@@ -256,16 +256,21 @@ def member_table(spark, folder):
 @query(
     f"""
     WITH {WIDE_ORDERS}
-    SELECT l_orderkey, {', '.join(f'n{i}.n_name AS province{i}' for i in SLOTS)}
+    SELECT l_orderkey, {', '.join(f'n{i}.n_name AS province{i}' for i in SLOTS)}, {', '.join(f's{i}.s_name AS supplier{i}' for i in SLOTS)}
     FROM wide {' '.join(f'LEFT JOIN nation n{i} ON NAT{i:02d} = n{i}.n_nationkey AND n{i}.n_nationkey <> 24' for i in SLOTS)}
+         {' '.join(f'LEFT JOIN supplier s{i} ON SUPP{i:02d} = s{i}.s_suppkey' for i in SLOTS)}
     """
 )
 def decoded_slots(spark, folder):
-    """Every slot decoded through one dimension that lacks a code."""
+    """Every slot decoded twice: by joins to a small dimension that lacks a code, and in one join to a large one."""
     nation = table(spark, folder, "nation").filter("n_nationkey <> 24")
-    columns = {f"NAT{i:02d}": f"province{i}" for i in SLOTS}
-    decoded = decode_slots(wide_orders(spark, folder), nation, columns, "n_name", "n_nationkey")
-    return decoded.select("l_orderkey", *columns.values())
+    names = {f"NAT{i:02d}": f"province{i}" for i in SLOTS}
+    suppliers = {f"SUPP{i:02d}": f"supplier{i}" for i in SLOTS}
+    wide = stage_derived(wide_orders(spark, folder))
+    decoded = decode_slots(wide, nation, names, "n_name", "n_nationkey", ["l_orderkey"])
+    supplier = table(spark, folder, "supplier")
+    decoded = decode_slots(decoded, supplier, suppliers, "s_name", "s_suppkey", ["l_orderkey"], large=True)
+    return decoded.select("l_orderkey", *names.values(), *suppliers.values())
 
 
 @query(

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.stages import Stage, own
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -19,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def source_order() -> Column:
+    """Place of a row in its Parquet files: file, then row. It survives shuffles once selected, and can be compared."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -40,30 +47,18 @@ def read_table(
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Without that setting the session's warehouse folder serves, which the
-    driver and the executors share as well.
+    Without that setting the session's warehouse folder serves. A warehouse on
+    a machine's own disk is refused on a cluster, where executors would not see
+    each other's files.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith("file:") and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
-def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
-    """Schema of a finished write; None where there is none.
-
-    A finished Parquet write leaves a success marker, a killed one does not.
-    Only Spark's own readers are used, so any store they reach will do.
-    """
-    try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").head()
-        return spark.read.parquet(path).schema
-    except AnalysisException:
-        return None
-
-
-def _plain_schema(schema: T.StructType) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
-
-
 def checkpoint_table(
     df: DataFrame,
     path: str,
@@ -73,16 +68,12 @@ def checkpoint_table(
     """Write a stage's output once and read it back from storage (an eager job).
 
     The returned frame has no lineage to the inputs, so a lost executor costs
-    a re-read, not a recomputation. ``refresh`` overwrites an earlier result;
-    an earlier result with other columns or types is refused.
+    a re-read, not a recomputation. An earlier result is reused while columns,
+    plan and input files are the same (see ``stages.Stage``); otherwise, or
+    with ``refresh``, a new version is written and the old one is left to its
+    readers until the stage is pruned.
     """
-    spark = df.sparkSession
-    stored = None if refresh else _stored_schema(spark, path)
-    if stored is not None and sorted(_plain_schema(stored)) != sorted(_plain_schema(df.schema)):
-        raise ValueError(f"{path} holds other columns than this stage; pass refresh=True to replace it")
-    if stored is None:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stage(df.sparkSession, path).table(df, refresh, partition_by)
 
 
 def stage_derived(df: DataFrame) -> DataFrame:
@@ -92,9 +83,11 @@ def stage_derived(df: DataFrame) -> DataFrame:
     broadcast threshold decides with a real figure. Without this a lookup
     made by aggregation carries its input's size estimate, and the big side
     of the join would be shuffled for nothing. The files stay in the shared
-    folder, under names that begin with ``tessera-derived-``.
+    folder, under names that begin with ``tessera-derived-``, unless the work
+    runs inside ``stages.owned_stages``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-derived-{uuid.uuid4().hex}"
+    own(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.stages import releases_stages
 from tessera.sources.tables import stage_derived
 from tessera.stats.fit import Fit
 from tessera.stats.gram import independent, inverse
@@ -89,6 +90,7 @@ def absorbed_rank(cells: DataFrame, factors: Sequence[str]) -> int:
     return sizes[factors[0]] + sum(sizes[f] - components(cells, factors[0], f) for f in factors[1:])
 
 
+@releases_stages
 def ols_absorbed(df: DataFrame, y: str, regressors: Sequence[str], absorb: Sequence[str]) -> Fit:
     """Least squares of ``y`` on numbers, with a fixed effect per level of each column in ``absorb``.
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import erfc
+from tessera.sources.stages import releases_stages
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Wanted, as_terms, complete_rows, resolve_all, used_columns
 from tessera.stats.fit import Fit
@@ -120,6 +121,7 @@ class _Newton:
         return DiscreteFit(fit, self.link)
 
 
+@releases_stages
 def binary_family(
     df: DataFrame,
     y: str,

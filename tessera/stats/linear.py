@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import p_chi2, p_fisher
+from tessera.sources.stages import releases_stages
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Num, as_terms, complete_rows, resolve, used_columns
 from tessera.stats.fit import Fit
@@ -100,6 +101,7 @@ def model_rows(df: DataFrame, terms: Sequence, extra: Sequence[str]) -> DataFram
     return stage_derived(df.filter(complete_rows(df, terms, extra)).select(*columns))
 
 
+@releases_stages
 def ols(df: DataFrame, y: str, terms: Sequence) -> Fit:
     """Ordinary least squares with listwise deletion and aliased terms dropped."""
     terms = as_terms(df, terms)
@@ -110,6 +112,7 @@ def ols(df: DataFrame, y: str, terms: Sequence) -> Fit:
     return solve(design.names, moments(rows, design, y, n).model(design), n, y, design)
 
 
+@releases_stages
 def model_family(df: DataFrame, y: str, models: Mapping[str, Sequence]) -> dict[str, Fit]:
     """Several least-squares models of one response.
 
@@ -155,6 +158,7 @@ def nested_test(spark: SparkSession, small: Fit, large: Fit) -> DataFrame:
     return df.withColumn("p_value", p_fisher("f", "df", "df_residual"))
 
 
+@releases_stages
 def robust(df: DataFrame, fit: Fit) -> Fit:
     """The same coefficients with an HC1 covariance, from one more pass."""
     rows = fit.predict(model_rows(df, fit.design.terms, [fit.response]), "__fitted")
@@ -204,6 +208,7 @@ def _rss(products: np.ndarray, columns: list[int], y: int) -> tuple[np.longdoubl
     return products[y, y] - beta @ products[kept, y], len(kept)
 
 
+@releases_stages
 def iv(
     df: DataFrame, y: str, endogenous: Sequence[str], exogenous: Sequence, instruments: Sequence[str]
 ) -> InstrumentFit:
@@ -299,6 +304,7 @@ class RobustInstrumentFit:
         return df.withColumn("p_value", F.when(F.col("df2").isNull(), chi).otherwise(p_fisher("statistic", "df1", "df2")))
 
 
+@releases_stages
 def robust_iv(df: DataFrame, found: InstrumentFit) -> RobustInstrumentFit:
     """Heteroskedasticity-robust errors and tests of an instrument fit, from one more pass.
 

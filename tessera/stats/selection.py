@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import is_true
+from tessera.sources.stages import releases_stages
 from tessera.sources.tables import stage_derived
 from tessera.stats.design import INTERCEPT, Design, Num, Wanted, as_terms, complete_rows, resolve_all, used_columns
 from tessera.stats.discrete import DiscreteFit, binary_family, mills_ratio
@@ -65,6 +66,7 @@ def heckman(
     return heckman_family(df, selected, y, {y: (selection_terms, outcome_terms)})[y]
 
 
+@releases_stages
 def heckman_family(
     df: DataFrame, selected: str, y: str, models: Mapping[str, tuple[Sequence, Sequence]]
 ) -> dict[str, SelectionFit]:
