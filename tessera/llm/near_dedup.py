@@ -395,12 +395,27 @@ def near_duplicates(
     return labelled.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _one_id_a_text(docs: DataFrame) -> DataFrame:
+    """The documents with ``__uid``: their id, or where an id has several texts, one number for each text.
+
+    Such numbers lie below -2**62, where no id is expected.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    seen = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    several = stage_derived(seen.filter("low <> high").select("__id"))
+    own = F.lit(-(1 << 62)) - F.xxhash64("doc_id", text).bitwiseAND((1 << 62) - 1)
+    joined = docs.join(several, F.col("doc_id") == F.col("__id"), "left")
+    return joined.withColumn("__uid", F.when(F.col("__id").isNull(), F.col("doc_id").cast("long")).otherwise(own)).drop("__id")
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that represent their group, with all their columns.
 
-    Rows that repeat an id leave one row; rows without an id all stay.
+    Rows of one id are judged by their texts: equal texts leave one row,
+    different texts stay unless they are near copies. Rows without an id stay.
     """
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(unnamed)
+    own = _one_id_a_text(docs)
+    judged = near_duplicates(own.select(F.col("__uid").alias("doc_id"), "text"), **options)
+    kept = judged.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__uid")).distinct()
+    named = own.filter("doc_id is not null").join(kept, "__uid", "left_semi").dropDuplicates(["__uid"]).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -37,7 +37,6 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -362,37 +361,35 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def redacted(model: tuple[BoostedTrees, list[int]] | None) -> Column:
-    """Column function: a text with each span replaced by its kind in angle brackets.
+def cleaned(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """A text with each span replaced by its kind in angle brackets.
 
     Overlapping spans are replaced as one, under the kind that starts first.
-    NULL stays NULL.
     """
+    if not spans:
+        return text
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"<{kind}>"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
-    def clean(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
-        if not spans:
-            return text
-        parts, at = [], 0
-        for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
-            if start >= at:
-                parts += [text[at:start], f"<{kind}>"]
-            at = max(at, end)
-        return "".join([*parts, text[at:]])
-
-    @F.pandas_udf(T.StringType())
-    def apply(texts: pd.Series) -> pd.Series:
-        values = [t if isinstance(t, str) else None for t in texts]
-        out = []
-        for start in range(0, len(values), 256):
-            part = values[start : start + 256]
-            out += [clean(t, s) for t, s in zip(part, all_spans([t or "" for t in part], model))]
-        return pd.Series(out, dtype=object)
 
-    return apply
+def redact(docs: DataFrame, **options) -> DataFrame:
+    """The documents with personal data replaced in ``text``; ``n_chars`` follows it. NULL stays NULL.
 
+    Rows pass through the tasks in small slices of their Arrow batches.
+    """
+    model, at = fit(docs, **options), docs.columns.index("text")
+    schema = T.StructType([T.StructField("text", T.StringType()) if i == at else f for i, f in enumerate(docs.schema.fields)])
 
-def redact(docs: DataFrame, **options) -> DataFrame:
-    """The documents with personal data replaced in ``text``; ``n_chars`` follows it."""
-    model = fit(docs, **options)
-    out = docs.withColumn("text", redacted(model)(F.col("text").cast("string")))
+    def work(batches):
+        for batch in slices(batches, 64):
+            texts = batch.column(at).to_pylist()
+            found = all_spans([t or "" for t in texts], model)
+            clean = pa.array([cleaned(t, s) for t, s in zip(texts, found)], pa.string())
+            yield fields(schema.names, [clean if i == at else c for i, c in enumerate(batch.columns)])
+
+    out = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(work, schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

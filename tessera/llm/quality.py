@@ -178,6 +178,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
-    model = fit(docs, labels)
-    return docs.filter(scorer(model)(text_bytes()) >= threshold)
+    """The documents whose score reaches the threshold, with all their columns.
+
+    Rows pass through the tasks in small slices, so a task holds the texts of
+    one Arrow batch and no second copy of them.
+    """
+    model, at = fit(docs, labels), docs.columns.index("text")
+
+    def work(batches):
+        for batch in slices(batches):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            scores = model.score(np.array([describe(t or b"") for t in texts])) if texts else np.empty(0)
+            yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(work, docs.schema)

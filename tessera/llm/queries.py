@@ -97,17 +97,16 @@ def op8_bpe(spark, folder):
 @query(
     r"""
     WITH v AS (
-        SELECT vec_id, min([floor(256 * x::DOUBLE) FOR x IN embedding]) AS e
+        SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
         FROM embeddings
         WHERE embedding IS NOT NULL
           AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
-        GROUP BY vec_id
     ), scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        SELECT q.vec_id AS query_id, q.e AS asked, c.vec_id AS vec_id,
                CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id
     ), ranked AS (
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                vec_id, score
         FROM scored
     )
@@ -147,7 +146,7 @@ def host_entries(captures):
 @query(
     r"""
     WITH captures AS (
-        SELECT DISTINCT page_id, url,
+        SELECT row_number() OVER () AS r, page_id, url,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 7919 % 2678400) AS fetched_at,
                nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host
         FROM pages
@@ -176,8 +175,8 @@ def host_entries(captures):
     SELECT c.page_id, c.url, c.fetched_at, c.host, count(m.pattern) AS n_active,
            coalesce(string_agg(DISTINCT m.category, ',' ORDER BY m.category), '') AS categories,
            arg_max(m.pattern, length(m.pattern)) AS pattern, count(m.pattern) > 0 AS blocked
-    FROM captures c LEFT JOIN met m USING (page_id, url, fetched_at)
-    GROUP BY c.page_id, c.url, c.fetched_at, c.host
+    FROM captures c LEFT JOIN met m USING (r)
+    GROUP BY c.r, c.page_id, c.url, c.fetched_at, c.host
     """
 )
 def op3_url_filter(spark, folder):

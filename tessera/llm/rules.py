@@ -29,13 +29,12 @@ they occur; an empty table gives an empty result; other columns pass.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fields, stage_derived, text_bytes
+from tessera.llm.common import fields, slices, stage_derived
 from tessera.llm.text_stats import rule_counts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -54,15 +53,6 @@ _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 _PARAMS = [f"m{i}" for i in range(DIMS)] + [f"p{i}{j}" for i, j in _PAIRS]
 
 
-def _counts() -> Column:
-    @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-    def count(texts: pd.Series) -> pd.DataFrame:
-        rows = [rule_counts(t) if isinstance(t, (bytes, bytearray)) else (0,) * len(COUNTS) for t in texts]
-        return pd.DataFrame(rows, columns=list(COUNTS))
-
-    return count(text_bytes())
-
-
 def _transformed() -> list[Column]:
     words = F.greatest("n_words", F.lit(1))
     angle = lambda share: F.asin(F.sqrt(F.least(share, F.lit(1.0))))
@@ -79,9 +69,25 @@ def failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """The documents with ``counts``' columns and the transformed statistics."""
-    out = docs.withColumn("__counts", _counts()).select("*", "__counts.*").drop("__counts")
+def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The documents with ``COUNTS``' columns and the transformed statistics.
+
+    Texts are counted in small slices of a task's Arrow batches and, unless
+    asked for, do not come back from there.
+    """
+    at = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or i != at]
+    schema = T.StructType([docs.schema.fields[i] for i in kept] + [T.StructField(c, T.LongType()) for c in COUNTS])
+
+    def work(batches):
+        for batch in slices(batches):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            counts = np.array([rule_counts(t) if t is not None else (0,) * len(COUNTS) for t in texts], dtype=np.int64)
+            counts = counts.reshape(len(texts), len(COUNTS))
+            columns = [*[batch.column(i) for i in kept], *[pa.array(counts[:, j]) for j in range(len(COUNTS))]]
+            yield fields(schema.names, columns)
+
+    out = docs.withColumn(text, F.col(text).cast("string")).mapInArrow(work, schema)
     return out.select("*", *_transformed(), failed().alias("base_failed"))
 
 
@@ -173,7 +179,7 @@ def verdict(rows: DataFrame, params: DataFrame) -> DataFrame:
 def rule_results(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every row."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    rows = stage_derived(counted(narrow).drop("text"))
+    rows = stage_derived(counted(narrow))
     return verdict(rows, fit(rows)).select("doc_id", *COUNTS[:-1], "base_failed", "kept")
 
 
@@ -181,9 +187,10 @@ def keep_sound(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
     Texts are counted twice, once to fit and once to decide, so that none is
-    shuffled.
+    shuffled. The documents' columns travel under names of their own.
     """
     pair = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
-    narrow = stage_derived(counted(docs.select("text", *pair)).drop("text"))
-    rows = counted(docs.select(F.struct(*docs.columns).alias("__row"), "text", *pair))
-    return verdict(rows, fit(narrow)).filter("kept").select("__row.*")
+    narrow = stage_derived(counted(docs.select("text", *pair)))
+    own = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}
+    rows = counted(docs.select(*[F.col(c).alias(n) for c, n in own.items()], *pair), own["text"], keep_text=True)
+    return verdict(rows, fit(narrow)).filter("kept").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, dimension block by dimension block.
 
 Vectors are integers. Queries and candidates are cut into blocks by a hash of
-their id; every pair of a query block and a candidate block is one group of
+the row; every pair of a query block and a candidate block is one group of
 bounded size. Inside a group candidates lie dimension by dimension. Scores
 grow block of dimensions by block; what the remaining dimensions can still add
 is bounded by the product of the remaining norms (Cauchy-Schwarz), and
@@ -12,10 +12,11 @@ Each candidate row is sent once per query block and each query row once per
 candidate block; per query and candidate block at most k rows come back.
 
 Defined cases: vectors that are NULL or hold NULL or non-finite components
-take no part; an id that repeats stands for its smallest vector; missing
-trailing components count as zero; equal scores rank by smaller id; a query
-never finds its own id; fewer candidates than k are all returned; empty tables
-give an empty result; other columns are ignored. Scores are exact while they
+take no part; every row is a candidate, also where its id repeats, so an id may
+be found more than once; a query never finds rows of its own id; a query id with
+several vectors asks once for each, equal ones once; missing trailing components
+count as zero; equal scores rank by smaller id; fewer candidates than k are all
+returned; empty tables give an empty result; other columns are ignored. Scores are exact while they
 fit 64 bits.
 """
 
@@ -58,12 +59,13 @@ def _tails(blocks: list[np.ndarray]) -> np.ndarray:
     return np.sqrt(np.vstack([after[1:], np.zeros(after.shape[1])]))
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query id, vector id, score) of each query's k best among the vectors."""
+def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, names=None):
+    """(query id, or its name, vector id, score) of each query's k best among the vectors."""
+    names = query_ids if names is None else names
     dims = queries.shape[1]
     if float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, dims) >= 2**50:
-        for q, own in zip(queries, query_ids):
-            yield from _best(own, ids, vectors @ q, ids != own, k)
+        for i, (q, own) in enumerate(zip(queries, query_ids)):
+            yield from _best(names[i], ids, vectors @ q, ids != own, k)
         return
     # dimensions of most mass first, so that bounds shrink early
     order = np.argsort(-((queries.astype(float) ** 2).sum(axis=0) + (vectors.astype(float) ** 2).sum(axis=0)), kind="stable")
@@ -85,13 +87,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                     keep = partial + rest >= worst - 0.5  # whole scores; half covers rounding
                     if not keep.all():
                         alive, partial = alive[keep], partial[keep]
-            yield from _best(query_ids[i], ids[alive], np.rint(partial).astype(np.int64), slice(None), k)
+            yield from _best(names[i], ids[alive], np.rint(partial).astype(np.int64), slice(None), k)
 
 
-def _best(query_id, ids: np.ndarray, scores: np.ndarray, mask, k: int):
+def _best(name, ids: np.ndarray, scores: np.ndarray, mask, k: int):
     ids, scores = ids[mask], scores[mask]
     for j in np.lexsort((ids, -scores))[:k]:
-        yield query_id, ids[j], scores[j]
+        yield name, ids[j], scores[j]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -105,25 +107,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         if left.num_rows and right.num_rows:
             dims = max(1, max(max((len(v) for v in t["vec"]), default=0) for t in (left, right)))
             ids, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            found = list(search_block(_matrix(right, dims), asked, _matrix(left, dims), ids, k))
+            found = list(search_block(_matrix(right, dims), asked, _matrix(left, dims), ids, k, range(len(asked))))
         columns = list(zip(*found)) if found else [[], [], []]
-        return pa.table([pa.array(list(map(int, c)), pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        asked_by = right.take(pa.array(list(columns[0]), pa.int64())) if right.num_rows else right
+        return pa.table({
+            "query_id": asked_by["vec_id"], "ask": asked_by["ask"],
+            "vec_id": pa.array(list(map(int, columns[1])), pa.int64()), "score": pa.array(list(map(int, columns[2])), pa.int64()),
+        })
 
     def blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         count = max(1, math.ceil(rows.count() / size))
-        return rows.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(count))), count
+        return rows.withColumn("at", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(count))), count
 
     def prepared(rows: DataFrame) -> DataFrame:
-        used = rows.filter("vec is not null and vec_id is not null")
-        return stage_derived(used.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("vec").alias("vec")))
+        return rows.filter("vec is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vec")
 
-    left, lefts = blocked(prepared(vectors), CANDIDATE_ROWS)
-    right, rights = blocked(prepared(queries), QUERY_ROWS)
+    left, lefts = blocked(stage_derived(prepared(vectors)), CANDIDATE_ROWS)
+    right, rights = blocked(stage_derived(prepared(queries).distinct()), QUERY_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("vec_id", "vec", F.col("at").alias("c")).withColumn("q", every(rights))
-    right = right.select("vec_id", "vec", F.col("at").alias("q")).withColumn("c", every(lefts))
+    right = right.select("vec_id", "vec", F.xxhash64("vec").alias("ask"), F.col("at").alias("q")).withColumn("c", every(lefts))
     pairs = left.groupBy("q", "c").cogroup(right.groupBy("q", "c"))
-    found = pairs.applyInArrow(work, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.applyInArrow(work, "query_id long, ask long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ execution splits; Spark broadcasts the intervals if their size allows it.
 
 Defined cases: NULL or unparsable URL, or NULL fetch time, matches nothing and
 stays in the result; entries with NULL pattern or date are ignored; entries of
-one moment: listing wins; repeated captures give one row; empty tables give
+one moment: listing wins; repeated captures give repeated rows; empty tables give
 an empty result or no matches; other columns are ignored.
 """
 
@@ -58,7 +58,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame, days: int = BUCKET_
     Adds ``host``, ``blocked``, ``n_active`` (active intervals), ``categories``
     (sorted, comma-joined) and ``pattern`` (the most specific that is active).
     """
-    seen = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host")).distinct()
+    # equal captures meet the list once and come back as often as they were
+    rows = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
+    seen = rows.groupBy("page_id", "url", "fetched_at", "host").agg(F.count("*").cast("int").alias("copies"))
     first, last = captures.agg(F.min("fetched_at"), F.max("fetched_at")).head()
     spans = stage_derived(validity(entries)).filter((F.col("since") <= F.lit(last)) & (F.col("until").isNull() | (F.col("until") > F.lit(first))))
     begin = _bucket(F.greatest("since", F.lit(first)), days)
@@ -69,10 +71,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame, days: int = BUCKET_
         (F.col("domain") == F.col("pattern")) & (F.col("at") == F.col("bucket"))
         & (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     )
-    met = asked.join(spans, active, "left").groupBy("page_id", "url", "fetched_at", "host")
+    met = asked.join(spans, active, "left").groupBy("page_id", "url", "fetched_at", "host", "copies")
     longest = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("pattern"))))
-    return met.agg(
+    found = met.agg(
         F.count("pattern").alias("n_active"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
         longest["pattern"].alias("pattern"),
     ).withColumn("blocked", F.col("n_active") > 0)
+    return found.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")

@@ -112,7 +112,7 @@ def test_top_k_defined_cases(spark):
     vectors = df.select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
     got = [tuple(r) for r in topk.top_k(vectors, vectors.filter("vec_id = 0"), k=5).orderBy("rank").collect()]
     # floor(256 * -0.1f) is -26
-    assert got == [(0, 1, 6, 256 * 128), (0, 2, 1, 256 * 64 - 128 * 26), (0, 3, 7, 0)]
+    assert got == [(0, 1, 6, 256 * 128), (0, 2, 1, 256 * 64 - 128 * 26), (0, 3, 1, 256 * 64 - 128 * 26), (0, 4, 7, 0)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
