@@ -19,7 +19,9 @@ groups only; as components are the result, no link that matters is skipped.
 
 Candidates are thinned by an estimate from the minwise values (bound chosen so
 that a pair at the threshold fails it with probability under 1e-7) and then
-confirmed on the whole shingle sets of the texts.
+confirmed on the whole shingle sets of the texts. The trees' nodes are compared
+where their members meet, so that only what passes the estimate becomes a pair:
+in a large group of copies below the threshold, most shared nodes do not.
 
 Defined cases: NULL or wordless text has no shingles, links with nothing and
 stands alone; rows with NULL id stand outside (component NULL, kept); rows
@@ -149,7 +151,7 @@ def _by_tree(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return rows.withColumn("path", F.slice("path", F.col("tree") * depth + 1, depth))
 
 
-def star_candidates(classes: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
+def star_candidates(classes: DataFrame, trees: int, depth: int, level: int, percent: int = 80) -> DataFrame:
     """Pairs of each node's most central member with its other members.
 
     Central is what shares large nodes in many trees: the text that copies
@@ -163,11 +165,23 @@ def star_candidates(classes: DataFrame, trees: int, depth: int, level: int) -> D
     ranked = shared.join(central, "fp").select("node", F.struct("central", "fp", "n").alias("who"))
     heads = ranked.groupBy("node").agg(F.max("who").alias("who"))
     heads = heads.select("node", F.col("who.fp").alias("a"), F.col("who.n").alias("n_a"))
-    pairs = shared.select("node", "fp", "n").join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a"))
+    pairs = shared.select("node", "fp", "n").join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a", percent))
     return pairs.select("a", F.col("fp").alias("b")).distinct()
 
 
-def _sizes_fit(n: str, m: str, percent: int = 80):
+def trees_for(percent: int) -> int:
+    """Trees that miss a pair at the threshold after three levels as rarely as ``TREES`` do at 80 percent."""
+    together = min(max(percent, 1) / 100, 0.8) ** 3
+    return int(np.ceil(TREES * np.log1p(-(0.8**3)) / np.log1p(-together) - 1e-9))
+
+
+def least_agreement(percent: int, values: int) -> int:
+    """Equal minwise values, 5.6 standard deviations below what the threshold makes expect."""
+    share = percent / 100
+    return max(0, int(np.floor(share * values - 5.6 * np.sqrt(share * (1 - share) * values))))
+
+
+def _sizes_fit(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
@@ -247,20 +261,20 @@ def settled_links(docs: DataFrame, groups: DataFrame, labels: DataFrame, width:
     return pieces.groupBy("hub", "i", "j").applyInArrow(work, "u long, v long")
 
 
-def path_candidates(
+def path_members(
     classes: DataFrame, labels: DataFrame, groups: DataFrame, trees: int, depth: int, leaf: int
 ) -> DataFrame:
-    """Pairs of different components that share a node small enough to compare.
+    """Members of the nodes to compare: those small enough, and the large ones of the last level.
 
-    Pairs of one hub's group have been compared and are left out. A node whose members all belong to one component is settled. The others
-    are compared exhaustively once they have at most ``leaf`` members or lie
-    at the last level; larger ones move on by one level. Each level's open
-    nodes are written once.
+    A node whose members all belong to one component, or to one hub's group
+    (compared before), is settled. The others are done once they have at most
+    ``leaf`` members or lie at the last level; larger ones move on by one
+    level. Each level's open nodes are written once.
     """
     labelled = classes.select("fp", "rep", "n", "path").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.join(groups.select("fp", "hub"), "fp", "left")
     # a class without a hub is its own, so that the comparison below needs no NULL rule
-    hub = F.coalesce("hub", "fp").alias("hub")
+    hub = F.xxhash64(F.coalesce("hub", "fp")).alias("hub")
     rows = _by_tree(labelled.select("fp", "n", "path", hub, F.coalesce("component", "rep").alias("component")), trees, depth)
     ready = []
     for level in range(1, depth + 1):
@@ -272,20 +286,80 @@ def path_candidates(
         open_nodes = open_nodes.filter("members > 1 and low < high and first < last").select("node", "members")
         found = stage_derived(rows.join(open_nodes, "node"))
         small = found if level == depth else found.filter(F.col("members") <= leaf)
-        ready.append(small.select("node", "fp", "n", "component", "hub"))
+        ready.append(small.select("node", "members", "fp", "n", "component", "hub"))
         rows = found.filter(F.col("members") > leaf).drop("node", "members")
-    members = reduce(DataFrame.union, ready)
-    left = members.toDF("node", "a", "n_a", "c_a", "h_a")
-    right = members.toDF("node", "b", "n_b", "c_b", "h_b")
-    apart = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.col("h_a") != F.col("h_b")) & _sizes_fit("n_a", "n_b")
-    return left.join(right, (left["node"] == right["node"]) & apart).select("a", "b").distinct()
+    return reduce(DataFrame.union, ready)
+
 
+def _likely_in_pieces(rows: pa.RecordBatch, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of likely links of ``rows``, which are sorted by piece.
 
-def likely(pairs: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    Row i meets row i + k of its piece for k = 1, 2, ...: one vector step per
+    k serves all pieces, however small they are.
+    """
+    piece = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "i", "j")])
+    own, size, component, hub = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("block", "n", "component", "hub"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+    lone = piece[1] == piece[2]
+    left, right, step = [], [], 1
+    start = np.arange(rows.num_rows)
+    while len(start):
+        start = start[start + step < rows.num_rows]
+        start = start[(piece[:, start] == piece[:, start + step]).all(axis=0)]
+        a, b = start, start + step
+        ask = (component[a] != component[b]) & (hub[a] != hub[b]) & (lone[a] | (own[a] != own[b]))
+        ask &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[ask], b[ask]
+        good = (sketch[a] == sketch[b]).sum(axis=1) >= least
+        left.append(a[good])
+        right.append(b[good])
+        step += 1
+    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=int)
+    return join(left), join(right)
+
+
+def path_pairs(members: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int) -> DataFrame:
+    """Likely links of different components and groups that share a compared node.
+
+    A node is cut into blocks of about ``BLOCK`` members, and two blocks are
+    one piece of work; most nodes are one piece. Pieces lie side by side in a
+    sorted partition, and a task holds one batch and the piece it ends with.
+    """
+    least = least_agreement(percent, trees * depth)
+    names = ["node", "i", "j", "block", "fp", "rep", "n", "component", "hub", "sketch"]
+
+    def work(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.concat_batches([rest, batch]) if rest is not None else batch
+            if not rows.num_rows:
+                continue
+            key = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "i", "j")])
+            whole = int(np.nonzero((key != key[:, -1:]).any(axis=0))[0].max(initial=-1)) + 1
+            rest = rows.slice(whole)
+            yield from linked(rows.slice(0, whole))
+        if rest is not None:
+            yield from linked(rest)
+
+    def linked(rows):
+        a, b = (pa.array(x) for x in _likely_in_pieces(rows, percent, least)) if rows.num_rows > 1 else (None, None)
+        if a is not None and len(a):
+            yield fields(["a", "rep_a", "b", "rep_b"], [rows.column(c).take(x) for x in (a, b) for c in ("fp", "rep")])
+
+    rows = members.join(classes.select("fp", "rep", "sketch"), "fp")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*names)
+    # no key for a join or a grouping: a piece's rows must lie together and in order
+    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "fp")
+    return rows.mapInArrow(work, "a binary, rep_a long, b binary, rep_b long").distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int = 80) -> DataFrame:
     """Pairs whose minwise values agree often enough for the threshold."""
-    # 5.6 standard deviations below the agreement expected at J = 0.8
     values = trees * depth
-    least = int(np.floor(0.8 * values - 5.6 * np.sqrt(0.16 * values)))
+    least = least_agreement(percent, values)
 
     def work(batches):
         for batch in batches:
@@ -364,28 +438,31 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    trees: int = TREES,
+    trees: int | None = None,
     depth: int = DEPTH,
     leaf: int = LEAF,
 ) -> DataFrame:
     """Every row's set size, component and whether it represents its component.
 
     Links texts with 100 * intersection >= ``percent`` * union of their
-    ``width``-word shingle sets (``percent`` from 80). One output row per input
+    ``width``-word shingle sets. All filters follow ``percent``, and below 80
+    so does the number of trees unless it is given. One output row per input
     row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked id),
     ``kept``. Runs jobs while it builds: sketches, classes, open nodes and
     links are written to the shared folder.
     """
+    trees = trees_for(percent) if trees is None else trees
     sketched = stage_derived(sketches(docs, width, trees, depth))
     classes = stage_derived(set_classes(sketched))
-    stars = star_candidates(classes, min(STAR_TREES, trees), depth, min(STAR_LEVEL, depth))
-    stars = stage_derived(likely(stars, classes, trees, depth))
+    stars = star_candidates(classes, min(STAR_TREES, trees), depth, min(STAR_LEVEL, depth), percent)
+    stars = stage_derived(likely(stars, classes, trees, depth, percent))
     links = stage_derived(confirmed(stars, docs, width, percent))
     first = stage_derived(components(links))
     groups = stage_derived(halo_groups(stars, classes))
     links = stage_derived(links.union(settled_links(docs, groups, first, width, percent)))
     first = stage_derived(components(links))
-    paths = likely(path_candidates(classes, first, groups, trees, depth, leaf), classes, trees, depth)
+    members = path_members(classes, first, groups, trees, depth, leaf)
+    paths = path_pairs(members, classes, trees, depth, percent)
     links = links.union(confirmed(paths, docs, width, percent))
     groups = stage_derived(components(links))
     by_set = classes.select("fp", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")

@@ -53,13 +53,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _SPELT_DOT = r"(?:\s?[\[({]dot[\])}]\s?|\sdot\s)"
+# runs of any length; possessive, so that a run is read once and never given back
 _LOOSE_MAIL = re.compile(
-    r"(?i)(?<![\w.%+-])[\w.%+-]{1,64}(?:(?:\s?@\s?|\s?[\[({]at[\])}]\s?)[\w-]{1,63}(?:(?:\.|\s\.\s|" + _SPELT_DOT + r")[\w-]{1,63}){1,5}"
-    r"|\sat\s[\w-]{1,63}(?:" + _SPELT_DOT + r"[\w-]{1,63}){1,5})"
+    r"(?i)(?<![\w.%+-])[\w.%+-]++(?:(?:\s?@\s?|\s?[\[({]at[\])}]\s?)[\w-]++(?:(?:\.|\s\.\s|" + _SPELT_DOT + r")[\w-]++)++"
+    r"|\sat\s[\w-]++(?:" + _SPELT_DOT + r"[\w-]++)++)"
 )
-_DOTTED = re.compile(r"(?<![\w.])\d{1,6}(?:(?:\.|[\[(]\.[\])]|\s?[\[({]dot[\])}]\s?)\d{1,6}){2,7}(?![\w])")
-_DIGITS = re.compile(r"(?<![\w])\+?\(?\d(?:[\x20().-]{0,2}\d){6,29}(?![\w])")
+_DOTTED = re.compile(r"(?<![\w.])\d++(?:(?:\.|[\[(]\.[\])]|\s?[\[({]dot[\])}]\s?)\d++(?!\w)){2,}+")
+_DIGITS = re.compile(r"(?<![\w])\+?\(?\d++(?!\w)(?:[\x20().-]{1,2}+\d++(?!\w))*+")
 GENERATORS = (("mail", _LOOSE_MAIL), ("dotted", _DOTTED), ("digits", _DIGITS))
+#: Digits of a proposed run, at least.
+DIGITS = 7
 _SPELT_MAIL = re.compile(r"(?i)at[\])}]|\sdot\s")
 _CUES = re.compile(r"(?i:mail|phone|tel|call|fax|card|visa|account|ip|host|addr|contact|ssn|id)\b")
 
@@ -121,7 +124,10 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             break
         if g == 0 and "@" not in text and not _SPELT_MAIL.search(text):
             continue
-        out += [(g, *m.span()) for m in pattern.finditer(text)]
+        found = pattern.finditer(text)
+        if pattern is _DIGITS:
+            found = (m for m in found if m.end() - m.start() >= DIGITS and sum(map(str.isdigit, m[0])) >= DIGITS)
+        out += [(g, *m.span()) for m in found]
     return out
 
 
@@ -193,13 +199,15 @@ def describe(text: str, generator: int, start: int, end: int) -> list[float]:
     digits = sum(c.isdigit() for c in body)
     groups = re.findall(r"\d+", body)
     before, after = text[start - 1 : start] or " ", text[end : end + 1] or " "
-    tail = re.search(r"[^\W\d_]+$", body)
+    tail = 0
+    while tail < len(body) and (c := body[-1 - tail]).isalnum() and not c.isdecimal():
+        tail += 1
     return [
         float(generator), float(end - start), float(digits), digits / max(1, end - start), float(len(groups)),
         float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(max((int(g[:6]) for g in groups), default=0)), float(body.count(".")), float(body.count("-")), float(body.count(" ")),
         float("@" in body), float(body.startswith("+")), float("(" in body),
-        float(len(tail[0]) if tail else 0), float(len(set(body)) / max(1, len(body))),
+        float(tail), float(len(set(body)) / max(1, len(body))),
         float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
         float(13 <= digits <= 19 and _luhn("".join(groups))), float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
         float(bool(_SPELT_MAIL.search(body))), float("dot" in body.lower() or "[.]" in body),

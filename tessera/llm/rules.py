@@ -7,16 +7,23 @@ covariance determinant of their language and source: starting from medians
 and median deviations, concentration steps refit mean and covariance on the
 three quarters of the group's texts with the smallest Mahalanobis distances.
 A text is rejected beyond ``DISTANCE``, and only on the side of more marks,
-more repetition or unusual word length that the statistics measure.
+more repetition or unusual word length: it stays if it lies within the
+distance once marks and repetition below the group's mean are set to the mean.
 
 Statistics that are constant in most texts (no marks, no repeats) would give
 a zero variance, so every standard deviation has a floor, ``FLOORS``. Where
 the floors act, 18% repeated words, 25% repeated lines or 0.09 marks a word
 are beyond the cut, each alone.
-Language and source pairs with fewer than ``SMALL`` texts are pooled per
-language, and those that are still small are pooled together.
 
-All texts take part; a step is two grouped aggregates over a narrow written
+Every language and source, every language and the whole corpus get an estimate
+of their own. A language is then the mixture of its own estimate, with weight
+n**2 / (n**2 + ``HALF``**2) for n texts, and of the corpus; a source the mixture
+of its own and its language's. Mixtures have the mean and covariance of their
+two parts, distance between the parts included, so trust in a source's own
+ways grows smoothly with its size: a few dozen like texts carry themselves, a
+single odd text does not.
+
+All texts take part, in three groups each; a step is two grouped aggregates over a narrow written
 table, combined before the shuffle, so a group of any size is one summary row
 per task. Only group parameters meet the rows again, in a join that Spark
 broadcasts if their written size allows it.
@@ -41,7 +48,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 DIMS = 4
 #: Least standard deviations: they guard against singular groups and stay well below what the cut must tell apart.
 FLOORS = (0.04, 0.02, 0.1, 0.12)
-SMALL = 200
+#: Texts at which a group's own estimate and the wider one weigh the same.
+HALF = 30
 STEPS = 3
 SHARE = 0.75
 #: Of the chi-squared distribution with 4 degrees: share / P(chi2_6 <= its 0.75 quantile).
@@ -50,7 +58,11 @@ CONSISTENCY = 1.485
 DISTANCE = 4.297
 
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-_PARAMS = [f"m{i}" for i in range(DIMS)] + [f"p{i}{j}" for i, j in _PAIRS]
+_MEANS = [f"m{i}" for i in range(DIMS)]
+_COVS = [f"v{i}{j}" for i, j in _PAIRS]
+_PARAMS = [*_MEANS, *[f"p{i}{j}" for i, j in _PAIRS]]
+#: Statistics of which only more is a fault.
+_ONE_SIDED = (1, 2, 3)
 
 
 def _transformed() -> list[Column]:
@@ -91,45 +103,88 @@ def counted(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Dat
     return out.select("*", *_transformed(), failed().alias("base_failed"))
 
 
-def _distance() -> Column:
+def _distance(one_sided: bool = False) -> Column:
+    """Squared Mahalanobis distance; ``one_sided`` raises what is below the mean, where only more is a fault, to the mean."""
+    off = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
+    if one_sided:
+        off = [F.greatest(d, F.lit(0.0)) if i in _ONE_SIDED else d for i, d in enumerate(off)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
-        term = (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) * F.col(f"p{i}{j}")
+        term = off[i] * off[j] * F.col(f"p{i}{j}")
         total = total + (term if i == j else 2 * term)
     return total
 
 
-def _group_keys(rows: DataFrame) -> DataFrame:
-    """Fitting group of each language and source (groups, not rows)."""
-    counts = stage_derived(rows.groupBy("lang", "source").count())
-    large = F.col("count") >= SMALL
-    first = F.when(large, F.to_json(F.struct("lang", "source"))).otherwise(F.concat(F.lit("language "), F.to_json(F.struct("lang"))))
-    keyed = counts.select("lang", "source", "count", first.alias("group"))
-    pooled = keyed.groupBy("group").agg((F.sum("count") < SMALL).alias("small"))
-    keyed = keyed.join(pooled, "group")
-    return keyed.select("lang", "source", F.when(F.col("small"), F.lit("all")).otherwise(F.col("group")).alias("group"))
+def _groups() -> list[Column]:
+    """Names of the groups a row belongs to: corpus, language, language and source."""
+    return [
+        F.lit("all"), F.concat(F.lit("language "), F.to_json(F.struct("lang"))),
+        F.concat(F.lit("source "), F.to_json(F.struct("lang", "source"))),
+    ]
+
+
+def _symmetric(values) -> np.ndarray:
+    """A matrix from its upper triangle, row by row."""
+    out = np.zeros((DIMS, DIMS))
+    for (i, j), v in zip(_PAIRS, values):
+        out[i, j] = out[j, i] = v
+    return out
 
 
-def _inverse(sums: DataFrame) -> DataFrame:
-    """Group sums to mean and precision matrix, one small solve per group."""
+def _sound(cov: np.ndarray) -> np.ndarray:
+    """A covariance with the least standard deviations."""
+    return cov + np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 1e-9))
+
+
+def _triangle(matrix: np.ndarray) -> tuple[float, ...]:
+    return tuple(float(matrix[i, j]) for i, j in _PAIRS)
+
+
+def _in_rows(frame: DataFrame, keys: str, names: list[str], solve) -> DataFrame:
+    """``keys`` (a schema) and double columns ``names`` that ``solve`` gives for each row of group parameters."""
+    held = [part.split()[0] for part in keys.split(", ")]
+    at = [frame.columns.index(k) for k in held]
 
     def work(batches):
-        for batch in batches:
-            frame = batch.to_pandas()
-            out = []
-            for row in frame.to_dict("records"):
-                mean = np.array([row[f"s{i}"] for i in range(DIMS)]) / row["n"]
-                cov = np.zeros((DIMS, DIMS))
-                for i, j in _PAIRS:
-                    cov[i, j] = cov[j, i] = row[f"s{i}{j}"] / row["n"] - mean[i] * mean[j]
-                cov = CONSISTENCY * cov
-                cov += np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 1e-9))
-                precision = np.linalg.inv(cov)
-                out.append((row["group"], *map(float, mean), *(float(precision[i, j]) for i, j in _PAIRS)))
-            columns = list(zip(*out)) if out else [[]] * (1 + len(_PARAMS))
-            yield fields(["group", *_PARAMS], [pa.array(list(columns[0]), pa.string()), *[pa.array(list(c), pa.float64()) for c in columns[1:]]])
-
-    return sums.mapInArrow(work, "group string, " + ", ".join(f"{p} double" for p in _PARAMS))
+        for batch in slices(batches, 4096):
+            out = [solve(row) for row in batch.to_pylist()]
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield fields([*held, *names], [*[batch.column(i) for i in at], *[pa.array(list(c), pa.float64()) for c in columns]])
+
+    return frame.mapInArrow(work, ", ".join([keys, *[f"{n} double" for n in names]]))
+
+
+def _inverse(sums: DataFrame) -> DataFrame:
+    """Group sums to mean, precision and covariance, one small solve per group."""
+
+    def solve(row):
+        mean = np.array([row[f"s{i}"] for i in range(DIMS)]) / row["n"]
+        cov = _symmetric(row[f"s{i}{j}"] / row["n"] for i, j in _PAIRS) - np.outer(mean, mean)
+        cov = _sound(CONSISTENCY * cov)
+        return (*map(float, mean), *_triangle(np.linalg.inv(cov)), *_triangle(cov))
+
+    return _in_rows(sums, "group string", [*_PARAMS, *_COVS], solve)
+
+
+def mixed(n: int, own: tuple, wide: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group of ``n`` texts, its own estimate mixed with a wider one."""
+    share = n**2 / (n**2 + HALF**2)
+    off = own[0] - wide[0]
+    return share * own[0] + (1 - share) * wide[0], share * own[1] + (1 - share) * wide[1] + share * (1 - share) * np.outer(off, off)
+
+
+def _blended(keys: DataFrame, params: DataFrame) -> DataFrame:
+    """Mean and precision of every language and source (``keys`` with sizes), mixed with the wider groups."""
+    for i, level in enumerate(("all", "language", "source")):
+        own = params.select(F.col("group").alias(level), F.struct(*_MEANS, *_COVS).alias(f"e{i}"))
+        keys = keys.join(own, level)
+
+    def solve(row):
+        known = [(np.array([e[m] for m in _MEANS]), _symmetric(e[v] for v in _COVS)) for e in (row["e0"], row["e1"], row["e2"])]
+        mean, cov = mixed(row["n"], known[2], mixed(row["n_lang"], known[1], known[0]))
+        return (*map(float, mean), *_triangle(np.linalg.inv(_sound(cov))))
+
+    return _in_rows(keys.select("k_lang", "k_source", "n", "n_lang", "e0", "e1", "e2"), "k_lang string, k_source string", _PARAMS, solve)
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -162,17 +217,20 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def fit(rows: DataFrame) -> DataFrame:
     """Parameters for every language and source of counted ``rows``."""
-    rows = rows.filter("not base_failed").select("lang", "source", *[f"x{i}" for i in range(DIMS)])
-    keys = stage_derived(_group_keys(rows)).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
-    same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
-    grouped = stage_derived(rows.join(keys, same).select("group", *[f"x{i}" for i in range(DIMS)]))
-    return stage_derived(keys.join(estimates(grouped), "group").drop("group"))
+    values = [f"x{i}" for i in range(DIMS)]
+    rows = rows.filter("not base_failed")
+    grouped = stage_derived(rows.select(F.explode(F.array(*_groups())).alias("group"), *values))
+    names = [g.alias(n) for g, n in zip(_groups(), ("all", "language", "source"))]
+    keys = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sizes = keys.groupBy(_groups()[1].alias("language")).agg(F.sum("n").alias("n_lang"))
+    keys = keys.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "n", *names).join(sizes, "language")
+    return stage_derived(_blended(keys, estimates(grouped)))
 
 
 def verdict(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Counted rows with ``kept``: within the fixed limits and the distance."""
     same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
-    near = F.coalesce(_distance() <= DISTANCE**2, F.lit(True))
+    near = F.coalesce(F.least(_distance(), _distance(one_sided=True)) <= DISTANCE**2, F.lit(True))
     return rows.join(params, same, "left").withColumn("kept", ~F.col("base_failed") & near).drop("k_lang", "k_source", *_PARAMS)
 
 
