@@ -51,6 +51,8 @@ FLOORS = (0.04, 0.02, 0.1, 0.12)
 #: Texts at which a group's own estimate and the wider one weigh the same.
 HALF = 30
 STEPS = 3
+#: Parts into which a group's rows are dealt where they meet its parameters.
+PARTS = 32
 SHARE = 0.75
 #: Of the chi-squared distribution with 4 degrees: share / P(chi2_6 <= its 0.75 quantile).
 CONSISTENCY = 1.485
@@ -187,11 +189,16 @@ def _blended(keys: DataFrame, params: DataFrame) -> DataFrame:
     return _in_rows(keys.select("k_lang", "k_source", "n", "n_lang", "e0", "e1", "e2"), "k_lang string, k_source string", _PARAMS, solve)
 
 
+def _met(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows (with ``part``) beside their group's parameters; a group of any size is dealt over ``PARTS`` keys."""
+    return rows.join(params.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["group", "part"])
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and median absolute deviations as the first estimate."""
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     centre = stage_derived(rows.groupBy("group").agg(*[median(f"x{i}").alias(f"m{i}") for i in range(DIMS)]))
-    off = rows.join(centre, "group").groupBy("group")
+    off = _met(rows, centre).groupBy("group")
     wide = off.agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(DIMS)])
     inverse = [
         (1 / F.pow(F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOORS[i])), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"p{i}{j}")
@@ -202,11 +209,12 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Mean and precision of every group of ``rows`` (``group``, ``x0``..)."""
+    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
     params = _start(rows)
     for _ in range(steps):
-        placed = rows.join(params, "group").select("group", *[f"x{i}" for i in range(DIMS)], _distance().alias("d"))
+        placed = _met(rows, params).select("group", "part", *[f"x{i}" for i in range(DIMS)], _distance().alias("d"))
         limits = stage_derived(placed.groupBy("group").agg(F.percentile_approx("d", SHARE, 1000).alias("limit")))
-        core = placed.join(limits, "group").filter("d <= limit").groupBy("group")
+        core = _met(placed, limits).filter("d <= limit").groupBy("group")
         sums = core.agg(
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS],
