@@ -232,7 +232,8 @@ def fit(rows: DataFrame) -> DataFrame:
     keys = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     sizes = keys.groupBy(_groups()[1].alias("language")).agg(F.sum("n").alias("n_lang"))
     keys = keys.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "n", *names).join(sizes, "language")
-    return stage_derived(_blended(keys, estimates(grouped)))
+    # written first: joined by its constant name, the corpus-wide group would be a product of all tasks with all
+    return stage_derived(_blended(stage_derived(keys), estimates(grouped)))
 
 
 def verdict(rows: DataFrame, params: DataFrame) -> DataFrame:
