@@ -202,6 +202,19 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     assert rules.rule_results(documents(spark, [])).count() == 0
 
 
+def test_groups_meet_without_a_product(spark, monkeypatch):
+    plans, write = [], rules.stage_derived
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(rules, "stage_derived", noted)
+    rng = random.Random(9)
+    rules.rule_results(documents(spark, [(i, " ".join(words(rng, 60))) for i in range(40)]))
+    assert plans and not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
+
+
 def test_mcd_steps_match_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1000, 4)) @ np.diag([1.0, 0.5, 2.0, 1.5])
