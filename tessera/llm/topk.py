@@ -82,7 +82,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                 if b:
                     partial = partial + q_blocks[b][i] @ upright[b][:, alive]
                 if len(alive) > k:
-                    rest = q_tail[b, i] * v_tail[b, alive]
+                    rest = q_tail[b, i] * v_tail[b, alive] * (1 + 1e-15 * (dims + 4))  # never below the exact bound
                     worst = np.partition(partial - rest, len(alive) - k)[len(alive) - k]
                     keep = partial + rest >= worst - 0.5  # whole scores; half covers rounding
                     if not keep.all():
@@ -117,7 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def blocked(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         count = max(1, math.ceil(rows.count() / size))
-        return rows.withColumn("at", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(count))), count
+        # an int like the other side's number of the block: equal numbers of two types are dealt to different tasks
+        return rows.withColumn("at", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(count)).cast("int")), count
 
     def prepared(rows: DataFrame) -> DataFrame:
         return rows.filter("vec is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vec")

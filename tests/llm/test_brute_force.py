@@ -116,6 +116,26 @@ def test_top_k_defined_cases(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
+    """Several blocks of both sides, dealt over partitions that are not put together again."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 20)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
+    whole = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in rows}
+    want = []
+    for q in range(0, 300, 10):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.filter("vec_id % 10 = 0"), k=5).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
 # secrets and personal data
 
 
