@@ -129,15 +129,18 @@ def sketches(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH
 
 
 def set_classes(sketched: DataFrame) -> DataFrame:
-    """One row per distinct shingle set; ``rep`` is its smallest document id.
+    """One row per distinct shingle set; ``rep`` is its smallest document id, ``cls`` a number of its own.
 
     Copies meet before the shuffle (grouped minima), so a group of copies of
-    any size sends one row per task.
+    any size sends one row per task. The number names the class in all later
+    shuffles, in half the bytes of its fingerprint; it holds once the rows are
+    written.
     """
     same = sketched.filter("n > 0 and doc_id is not null").groupBy("fp")
-    return same.agg(
+    rows = same.agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("path").alias("path"), F.min("sketch").alias("sketch")
     )
+    return rows.withColumn("cls", F.monotonically_increasing_id())
 
 
 def _node(level: int):
@@ -158,15 +161,15 @@ def star_candidates(classes: DataFrame, trees: int, depth: int, level: int, perc
     were made from agrees with most of them. Counts and maxima are grouped,
     so a large node is one summary row.
     """
-    rows = _by_tree(classes.select("fp", "n", "path"), trees, depth).select(_node(level).alias("node"), "fp", "n")
+    rows = _by_tree(classes.select("cls", "n", "path"), trees, depth).select(_node(level).alias("node"), "cls", "n")
     sizes = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
     shared = stage_derived(rows.join(sizes, "node"))
-    central = shared.groupBy("fp").agg(F.round(F.sum(F.log("members")), 6).alias("central"))
-    ranked = shared.join(central, "fp").select("node", F.struct("central", "fp", "n").alias("who"))
+    central = shared.groupBy("cls").agg(F.round(F.sum(F.log("members")), 6).alias("central"))
+    ranked = shared.join(central, "cls").select("node", F.struct("central", "cls", "n").alias("who"))
     heads = ranked.groupBy("node").agg(F.max("who").alias("who"))
-    heads = heads.select("node", F.col("who.fp").alias("a"), F.col("who.n").alias("n_a"))
-    pairs = shared.select("node", "fp", "n").join(heads, "node").filter("fp <> a").filter(_sizes_fit("n", "n_a", percent))
-    return pairs.select("a", F.col("fp").alias("b")).distinct()
+    heads = heads.select("node", F.col("who.cls").alias("a"), F.col("who.n").alias("n_a"))
+    pairs = shared.select("node", "cls", "n").join(heads, "node").filter("cls <> a").filter(_sizes_fit("n", "n_a", percent))
+    return pairs.select("a", F.col("cls").alias("b")).distinct()
 
 
 def trees_for(percent: int) -> int:
@@ -189,10 +192,10 @@ def halo_groups(stars: DataFrame, classes: DataFrame) -> DataFrame:
     """Each class of a likely star pair with one ``hub``: the one with most members."""
     sizes = stars.groupBy("a").agg(F.count("*").alias("members"))
     sized = stars.join(sizes, "a").select("a", "b", "members")
-    ends = sized.select(F.col("b").alias("fp"), F.struct("members", F.col("a").alias("hub")).alias("best"))
+    ends = sized.select(F.col("b").alias("cls"), F.struct("members", F.col("a").alias("hub")).alias("best"))
     ends = ends.union(sized.select("a", F.struct("members", "a")).distinct())
-    hubs = ends.groupBy("fp").agg(F.max("best").alias("best")).select("fp", F.col("best.hub").alias("hub"))
-    return hubs.join(classes.select("fp", "rep"), "fp")
+    hubs = ends.groupBy("cls").agg(F.max("best").alias("best")).select("cls", F.col("best.hub").alias("hub"))
+    return hubs.join(classes.select("cls", "fp", "rep"), "cls")
 
 
 def _local_links(texts: list[bytes], component: list[int], width: int, percent: int):
@@ -238,13 +241,13 @@ def settled_links(docs: DataFrame, groups: DataFrame, labels: DataFrame, width:
     ever listed or gathered.
     """
     labelled = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    labelled = labelled.select("fp", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+    labelled = labelled.select("cls", "fp", "rep", "hub", F.coalesce("component", "rep").alias("component"))
     still = labelled.groupBy("hub").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     still = still.filter("low < high").select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     open_rows = stage_derived(labelled.join(still, "hub"))
-    texts = wanted_texts(docs, open_rows.select("fp", "rep"), width)
-    block = F.pmod(F.hash("fp"), F.col("blocks")).alias("block")
-    rows = open_rows.join(texts, "fp").select("hub", "rep", "component", "text", block, "blocks")
+    texts = wanted_texts(docs, open_rows.select("cls", "fp", "rep"), width)
+    block = F.pmod(F.hash("cls"), F.col("blocks")).alias("block")
+    rows = open_rows.join(texts, "cls").select("hub", "rep", "component", "text", block, "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pieces = rows.select("hub", "rep", "component", "text", "block", other)
     pieces = pieces.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -269,16 +272,27 @@ def path_members(
     A node whose members all belong to one component, or to one hub's group
     (compared before), is settled. The others are done once they have at most
     ``leaf`` members or lie at the last level; larger ones move on by one
-    level. Each level's open nodes are written once.
+    level. Each level's open nodes are written once. Every class has a row in
+    each tree here, so rows are narrow: numbers for names, and the tokens of
+    the lower levels cut to what one long holds (equal tokens stay equal, and
+    what then meets by chance is compared and dropped).
     """
-    labelled = classes.select("fp", "rep", "n", "path").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    labelled = labelled.join(groups.select("fp", "hub"), "fp", "left")
+    # labels meet names only; the paths, far wider, are shuffled once for both uses below (with no column that one of them lacks)
+    labelled = classes.select("cls", "rep", "n").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    labelled = labelled.join(groups.select("cls", "hub"), "cls", "left")
     # a class without a hub is its own, so that the comparison below needs no NULL rule
-    hub = F.xxhash64(F.coalesce("hub", "fp")).alias("hub")
-    rows = _by_tree(labelled.select("fp", "n", "path", hub, F.coalesce("component", "rep").alias("component")), trees, depth)
+    labelled = labelled.select("cls", "n", F.coalesce("hub", "cls").alias("hub"), F.coalesce("component", "rep").alias("component"))
+    rows = _by_tree(classes.select("cls", "path").join(stage_derived(labelled), "cls"), trees, depth)
+    token = lambda level: F.element_at("path", level).cast("long")
+    bits = min(32, 63 // max(1, depth - 1))
+    low = (1 << bits) - 1
+    below = [F.shiftleft(token(level).bitwiseAND(low), bits * (level - 2)) for level in range(2, depth + 1)]
+    first = F.shiftleft(F.col("tree").cast("long"), 32) + token(1).bitwiseAND((1 << 32) - 1)
+    rows = rows.select("cls", "n", "component", "hub", first.alias("node"), reduce(lambda a, b: a + b, below, F.lit(0).cast("long")).alias("below"))
     ready = []
     for level in range(1, depth + 1):
-        rows = rows.withColumn("node", _node(level))
+        if level > 1:
+            rows = rows.withColumn("node", F.xxhash64("node", F.shiftright("below", bits * (level - 2)).bitwiseAND(low)))
         open_nodes = rows.groupBy("node").agg(
             F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.min("hub").alias("first"), F.max("hub").alias("last"),
@@ -286,8 +300,8 @@ def path_members(
         open_nodes = open_nodes.filter("members > 1 and low < high and first < last").select("node", "members")
         found = stage_derived(rows.join(open_nodes, "node"))
         small = found if level == depth else found.filter(F.col("members") <= leaf)
-        ready.append(small.select("node", "members", "fp", "n", "component", "hub"))
-        rows = found.filter(F.col("members") > leaf).drop("node", "members")
+        ready.append(small.select("node", "members", "cls", "n", "component", "hub"))
+        rows = found.filter(F.col("members") > leaf).drop("members")
     return reduce(DataFrame.union, ready)
 
 
@@ -326,7 +340,7 @@ def path_pairs(members: DataFrame, classes: DataFrame, trees: int, depth: int, p
     sorted partition, and a task holds one batch and the piece it ends with.
     """
     least = least_agreement(percent, trees * depth)
-    names = ["node", "i", "j", "block", "fp", "rep", "n", "component", "hub", "sketch"]
+    names = ["node", "i", "j", "block", "cls", "rep", "n", "component", "hub", "sketch"]
 
     def work(batches):
         rest = None
@@ -344,16 +358,16 @@ def path_pairs(members: DataFrame, classes: DataFrame, trees: int, depth: int, p
     def linked(rows):
         a, b = (pa.array(x) for x in _likely_in_pieces(rows, percent, least)) if rows.num_rows > 1 else (None, None)
         if a is not None and len(a):
-            yield fields(["a", "rep_a", "b", "rep_b"], [rows.column(c).take(x) for x in (a, b) for c in ("fp", "rep")])
+            yield fields(["a", "rep_a", "b", "rep_b"], [rows.column(c).take(x) for x in (a, b) for c in ("cls", "rep")])
 
-    rows = members.join(classes.select("fp", "rep", "sketch"), "fp")
+    rows = members.join(classes.select("cls", "rep", "sketch"), "cls")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*names)
     # no key for a join or a grouping: a piece's rows must lie together and in order
-    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "fp")
-    return rows.mapInArrow(work, "a binary, rep_a long, b binary, rep_b long").distinct()
+    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls")
+    return rows.mapInArrow(work, "a long, rep_a long, b long, rep_b long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int = 80) -> DataFrame:
@@ -369,13 +383,13 @@ def likely(pairs: DataFrame, classes: DataFrame, trees: int, depth: int, percent
             good = pa.array((a == b).sum(axis=1) >= least)
             yield from table.select(["a", "rep_a", "b", "rep_b"]).filter(good).to_batches()
 
-    side = classes.select("fp", "rep", "sketch")
+    side = classes.select("cls", "rep", "sketch")
     both = pairs.join(side.toDF("a", "rep_a", "sketch_a"), "a").join(side.toDF("b", "rep_b", "sketch_b"), "b")
-    return both.mapInArrow(work, "a binary, rep_a long, b binary, rep_b long")
+    return both.mapInArrow(work, "a long, rep_a long, b long, rep_b long")
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """One text per wanted fingerprint (``fp``, ``rep``).
+    """One text per wanted class (``cls``, ``fp``, ``rep``), beside its ``cls``.
 
     A filter of fixed size over the wanted ids thins the documents before the
     join on id; what passes by chance is dropped by the join.
@@ -407,10 +421,11 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     read = read.select("doc_id", "text", place.alias("bit"))
     texts = read.mapInArrow(work, "doc_id long, fp binary, text binary")
     # the id test is no join key, so that one shuffle on fp serves the grouping too
-    return texts.join(wanted, "fp").filter("doc_id - rep = 0").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = texts.join(wanted, "fp").filter("doc_id - rep = 0").groupBy("fp", "cls").agg(F.min("text").alias("text"))
+    return texts.select("cls", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose whole shingle sets reach the similarity (ids ``u``, ``v``)."""
 
     def work(batches):
@@ -427,8 +442,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield fields(["u", "v"], [batch.column(0), batch.column(1)]).filter(pa.array(good, pa.bool_()))
 
     pairs = stage_derived(pairs)  # read three times below
-    ends = pairs.select(F.col("a").alias("fp"), F.col("rep_a").alias("rep"))
-    ends = ends.union(pairs.select("b", "rep_b")).distinct()
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    ends = stage_derived(classes.select("cls", "fp", "rep").join(ends, "cls"))
     texts = stage_derived(wanted_texts(docs, ends, width))
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return full.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(work, "u long, v long")
@@ -456,14 +471,14 @@ def near_duplicates(
     classes = stage_derived(set_classes(sketched))
     stars = star_candidates(classes, min(STAR_TREES, trees), depth, min(STAR_LEVEL, depth), percent)
     stars = stage_derived(likely(stars, classes, trees, depth, percent))
-    links = stage_derived(confirmed(stars, docs, width, percent))
+    links = stage_derived(confirmed(stars, classes, docs, width, percent))
     first = stage_derived(components(links))
     groups = stage_derived(halo_groups(stars, classes))
     links = stage_derived(links.union(settled_links(docs, groups, first, width, percent)))
     first = stage_derived(components(links))
     members = path_members(classes, first, groups, trees, depth, leaf)
     paths = path_pairs(members, classes, trees, depth, percent)
-    links = links.union(confirmed(paths, docs, width, percent))
+    links = links.union(confirmed(paths, classes, docs, width, percent))
     groups = stage_derived(components(links))
     by_set = classes.select("fp", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     by_set = by_set.select("fp", F.coalesce("component", "rep").alias("component_id"))

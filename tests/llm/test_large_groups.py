@@ -34,6 +34,18 @@ def test_large_groups_match_all_pairs(spark, monkeypatch, percent):
     assert found == groups_by_hand(texts, 2, percent)
 
 
+def test_rows_of_every_tree_hold_numbers_only(spark, monkeypatch):
+    """What is written and shuffled once per class and tree has neither fingerprints nor paths."""
+    staged, write = [], near_dedup.stage_derived
+    monkeypatch.setattr(near_dedup, "stage_derived", lambda df: staged.append(dict(df.dtypes)) or write(df))
+    rng = random.Random(33)
+    texts = list(enumerate(copies(rng, 60, 1) + copies(rng, 60, 6)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts), 2, 80, leaf=2).collect()}
+    assert found == groups_by_hand(texts, 2, 80)
+    by_tree = [d for d in staged if {"node", "members"} <= d.keys()]
+    assert len(by_tree) > near_dedup.DEPTH and all(set(d.values()) == {"bigint"} for d in by_tree)
+
+
 def test_trees_follow_the_threshold():
     assert near_dedup.trees_for(80) == near_dedup.trees_for(95) == near_dedup.TREES
     for percent in (70, 50):
