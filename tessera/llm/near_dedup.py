@@ -20,8 +20,10 @@ groups only; as components are the result, no link that matters is skipped.
 Candidates are thinned by an estimate from the minwise values (bound chosen so
 that a pair at the threshold fails it with probability under 1e-7) and then
 confirmed on the whole shingle sets of the texts. The trees' nodes are compared
-where their members meet, so that only what passes the estimate becomes a pair:
-in a large group of copies below the threshold, most shared nodes do not.
+where their members meet, and members with a likely link meet there again with
+their texts: rows name members, not pairs, and of the links found only those
+that join components leave, so a large group of copies near or below the
+threshold sends as many rows as it has members in its nodes' blocks.
 
 Defined cases: NULL or wordless text has no shingles, links with nothing and
 stands alone; rows with NULL id stand outside (component NULL, kept); rows
@@ -30,10 +32,12 @@ that repeat an id are judged on their own texts; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +52,8 @@ STAR_LEVEL = 2
 LEAF = 24
 #: Texts in a block of a group that is compared pair by pair.
 BLOCK = 256
+#: A piece of work in a node: two of its blocks, or one with itself.
+PIECE = ["node", "i", "j"]
 #: Bits of the id filter that keeps unwanted texts out of a shuffle: 2 MB,
 #: whatever the corpus; a fuller filter lets more texts pass, never fewer.
 FILTER_BITS = 1 << 24
@@ -305,17 +311,43 @@ def path_members(
     return reduce(DataFrame.union, ready)
 
 
-def _likely_in_pieces(rows: pa.RecordBatch, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of likely links of ``rows``, which are sorted by piece.
+def _piece_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where the pieces of sorted rows begin."""
+    piece = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in PIECE])
+    return np.concatenate([[0], np.nonzero((piece[:, 1:] != piece[:, :-1]).any(axis=0))[0] + 1])
+
+
+def _whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut where a piece ends; one batch and the piece it ends with are held."""
+    rest = None
+    for batch in batches:
+        rows = pa.concat_batches([rest, batch]) if rest is not None else batch
+        if not rows.num_rows:
+            continue
+        whole = int(_piece_starts(rows)[-1])
+        rest = rows.slice(whole)
+        if whole:
+            yield rows.slice(0, whole)
+    if rest is not None:
+        yield rest
+
+
+def _likely_in_pieces(rows: pa.RecordBatch, percent: int, least: int) -> np.ndarray:
+    """Places of the rows with a likely link to settle in their piece; ``rows`` are sorted by piece.
 
     Row i meets row i + k of its piece for k = 1, 2, ...: one vector step per
-    k serves all pieces, however small they are.
+    k serves all pieces, however small they are. A pair that shares several
+    nodes is settled in the one of the smallest number.
     """
-    piece = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "i", "j")])
+    piece = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in PIECE])
     own, size, component, hub = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("block", "n", "component", "hub"))
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+    nodes, counts = rows.column("nodes").flatten().to_numpy(zero_copy_only=False), pc.list_value_length(rows.column("nodes")).to_numpy(zero_copy_only=False)
+    at = np.arange(counts.max(initial=1))
+    # short lists repeat their first node, which adds to no intersection
+    nodes = nodes[(np.cumsum(counts) - counts)[:, None] + np.where(at < counts[:, None], at, 0)]
     lone = piece[1] == piece[2]
-    left, right, step = [], [], 1
+    found, step = np.zeros(rows.num_rows, dtype=bool), 1
     start = np.arange(rows.num_rows)
     while len(start):
         start = start[start + step < rows.num_rows]
@@ -325,49 +357,70 @@ def _likely_in_pieces(rows: pa.RecordBatch, percent: int, least: int) -> tuple[n
         ask &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         a, b = a[ask], b[ask]
         good = (sketch[a] == sketch[b]).sum(axis=1) >= least
-        left.append(a[good])
-        right.append(b[good])
+        a, b = a[good], b[good]
+        here = np.ones(len(a), dtype=bool)
+        for column in range(nodes.shape[1]):
+            node = nodes[a, column]
+            here &= (node >= piece[0, a]) | (nodes[b] != node[:, None]).all(axis=1)
+        found[a[here]] = True
+        found[b[here]] = True
         step += 1
-    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=int)
-    return join(left), join(right)
+    return np.nonzero(found)[0]
 
 
-def path_pairs(members: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int) -> DataFrame:
-    """Likely links of different components and groups that share a compared node.
+def likely_members(members: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int) -> DataFrame:
+    """Members of compared nodes with a likely link to another component and group there.
 
     A node is cut into blocks of about ``BLOCK`` members, and two blocks are
-    one piece of work; most nodes are one piece. Pieces lie side by side in a
-    sorted partition, and a task holds one batch and the piece it ends with.
+    one piece of work (``node``, ``i``, ``j``); most nodes are one piece.
+    Pieces lie side by side in a sorted partition. A piece gives each of its
+    rows at most once, however many likely links there are among them.
     """
     least = least_agreement(percent, trees * depth)
-    names = ["node", "i", "j", "block", "cls", "rep", "n", "component", "hub", "sketch"]
+    names = [*PIECE, "block", "cls", "rep", "n", "component", "hub", "sketch", "nodes"]
 
     def work(batches):
-        rest = None
-        for batch in batches:
-            rows = pa.concat_batches([rest, batch]) if rest is not None else batch
-            if not rows.num_rows:
-                continue
-            key = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "i", "j")])
-            whole = int(np.nonzero((key != key[:, -1:]).any(axis=0))[0].max(initial=-1)) + 1
-            rest = rows.slice(whole)
-            yield from linked(rows.slice(0, whole))
-        if rest is not None:
-            yield from linked(rest)
-
-    def linked(rows):
-        a, b = (pa.array(x) for x in _likely_in_pieces(rows, percent, least)) if rows.num_rows > 1 else (None, None)
-        if a is not None and len(a):
-            yield fields(["a", "rep_a", "b", "rep_b"], [rows.column(c).take(x) for x in (a, b) for c in ("cls", "rep")])
-
-    rows = members.join(classes.select("cls", "rep", "sketch"), "cls")
+        for rows in _whole_pieces(batches):
+            found = _likely_in_pieces(rows, percent, least)
+            if len(found):
+                out = [*PIECE, "cls", "rep", "component"]
+                yield fields(out, [rows.column(c).take(pa.array(found)) for c in out])
+
+    # at most one node a tree
+    nodes = members.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
+    rows = members.join(classes.select("cls", "rep", "sketch"), "cls").join(nodes, "cls")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*names)
     # no key for a join or a grouping: a piece's rows must lie together and in order
-    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cls")
-    return rows.mapInArrow(work, "a long, rep_a long, b long, rep_b long").distinct()
+    rows = rows.repartition(*PIECE).sortWithinPartitions(*PIECE, "cls")
+    return rows.mapInArrow(work, "node long, i int, j int, cls long, rep long, component long")
+
+
+def path_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the ``likely_members`` of each piece, whole sets compared (ids ``u``, ``v``).
+
+    As in a hub's group, only links that join components leave a piece, so
+    a large group of texts that resemble each other lists no pairs.
+    """
+
+    def work(batches):
+        for rows in _whole_pieces(batches):
+            starts = _piece_starts(rows)
+            for start, end in zip(starts, [*starts[1:], rows.num_rows]):
+                part = rows.slice(start, end - start)
+                reps, component, texts = (part.column(c).to_pylist() for c in ("rep", "component", "text"))
+                found = [(reps[i], reps[j]) for i, j in _local_links(texts, component, width, percent)]
+                if found:
+                    yield fields(["u", "v"], [pa.array(x, pa.int64()) for x in zip(*found)])
+
+    members = stage_derived(members)  # read twice below
+    ends = stage_derived(classes.select("cls", "fp", "rep").join(members.select("cls").distinct(), "cls"))
+    texts = wanted_texts(docs, ends, width)
+    rows = members.join(texts, "cls").select(*PIECE, "rep", "component", "text")
+    rows = rows.repartition(*PIECE).sortWithinPartitions(*PIECE, "rep")
+    return rows.mapInArrow(work, "u long, v long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, trees: int, depth: int, percent: int = 80) -> DataFrame:
@@ -477,8 +530,8 @@ def near_duplicates(
     links = stage_derived(links.union(settled_links(docs, groups, first, width, percent)))
     first = stage_derived(components(links))
     members = path_members(classes, first, groups, trees, depth, leaf)
-    paths = path_pairs(members, classes, trees, depth, percent)
-    links = links.union(confirmed(paths, classes, docs, width, percent))
+    near = likely_members(members, classes, trees, depth, percent)
+    links = links.union(path_links(near, classes, docs, width, percent))
     groups = stage_derived(components(links))
     by_set = classes.select("fp", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     by_set = by_set.select("fp", F.coalesce("component", "rep").alias("component_id"))

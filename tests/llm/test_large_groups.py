@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dedup, pii, rules
@@ -46,6 +47,42 @@ def test_rows_of_every_tree_hold_numbers_only(spark, monkeypatch):
     assert len(by_tree) > near_dedup.DEPTH and all(set(d.values()) == {"bigint"} for d in by_tree)
 
 
+def test_texts_that_resemble_each_other_list_no_pairs(spark, monkeypatch):
+    """Below the threshold most texts of such a group are likely links of each other; rows name texts, not pairs."""
+    staged, write = [], near_dedup.stage_derived
+
+    def counted(df):
+        out = write(df)
+        staged.append((df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage_derived", counted)
+    rng = random.Random(34)
+    texts = list(enumerate(copies(rng, 300, 5) + copies(rng, 60, 1)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts), 2, 80, leaf=2).collect()}
+    assert found == groups_by_hand(texts, 2, 80)
+    assert max(n for _, n in staged) <= near_dedup.TREES * len(texts), staged
+
+
+def test_a_likely_pair_is_settled_in_one_node():
+    """Two texts of three shared nodes, a third that shares one with each; pieces of two blocks ask across them only."""
+    nodes = {0: [9, 5, 7], 1: [7, 5, 9], 2: [9, 8, 3], 3: [6, 4, 2]}
+    members = [(n, 0, 0, 0, c) for c, own in nodes.items() for n in own] + [(11, 0, 1, c % 2, c) for c in (4, 5, 6)]
+    nodes |= {4: [11], 5: [11], 6: [11]}
+    members.sort()
+    node, i, j, block, cls = (list(x) for x in zip(*members))
+    columns = {"node": node, "i": i, "j": j, "block": block, "n": [10] * len(cls), "component": cls, "hub": cls}
+    columns |= {"sketch": [bytes(8)] * len(cls), "nodes": [nodes[c] for c in cls]}
+    for cut in (1, 4, len(cls)):
+        rows = pa.RecordBatch.from_pydict(columns)
+        whole = list(near_dedup._whole_pieces(rows.slice(k, cut) for k in range(0, len(cls), cut)))
+        assert pa.Table.from_batches(whole).to_pydict() == columns
+        found = []
+        for part in whole:
+            found += [(part["node"][int(x)].as_py(), part["component"][int(x)].as_py()) for x in near_dedup._likely_in_pieces(part, 80, 8)]
+        assert sorted(found) == [(5, 0), (5, 1), (9, 0), (9, 1), (9, 2), (11, 4), (11, 5), (11, 6)]
+
+
 def test_trees_follow_the_threshold():
     assert near_dedup.trees_for(80) == near_dedup.trees_for(95) == near_dedup.TREES
     for percent in (70, 50):
